@@ -30,7 +30,7 @@ def _full(value: Column, n: int) -> Column:
 
 def _middle(values: Column, n: int) -> Column:
     """Median of an array of n values (n odd)."""
-    return F.get(F.array_sort(values), F.lit(n // 2))
+    return F.get(F.sort_array(values), F.lit(n // 2))
 
 
 def category_medians(rows: DataFrame) -> DataFrame:

@@ -33,11 +33,11 @@ def base_stats(cleaned: DataFrame) -> DataFrame:
 def anomaly_component(report: DataFrame, cfg: LedgerConfig = DEFAULT) -> DataFrame:
     """Severity-weighted share of anomalies and repeated critical ones."""
     weights = {name: float(rank) for rank, name in enumerate(fv.SEVERITIES)}
-    severity = F.col("severity")
-    counts = report.where(severity != "INSUFFICIENT_DATA").groupBy(*UNIT_KEY).agg(
-        F.count_if(severity != "NORMAL").alias("anomaly_count"),
+    severity, weight = F.col("severity"), lookup(F.col("severity"), weights)
+    counts = report.groupBy(*UNIT_KEY).agg(
+        F.count_if(weight > 0).alias("anomaly_count"),
         F.count_if(severity == "CRITICAL").alias("critical_anomaly_count"),
-        F.avg(lookup(severity, weights)).alias("_weight"))
+        F.avg(weight).alias("_weight")).where("_weight IS NOT NULL")
     repeated = F.least(F.col("critical_anomaly_count") / cfg.repeated_critical, F.lit(1.0)) * 100
     return counts.select(*UNIT_KEY, "anomaly_count", "critical_anomaly_count",
                          clip(F.col("_weight") / max(weights.values()) * 100).alias("anomaly_penalty"),

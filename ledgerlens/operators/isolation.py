@@ -20,9 +20,8 @@ from ledgerlens.scratch import cut, join_measured
 FEATURES = [AMOUNT, "deviation_from_category_median", "day_of_week", "month_num"]
 ROWS_PER_TASK = 100_000
 
-# One tree as parallel arrays in heap order of creation; a leaf has feature -1.
-FOREST = (f"{CATEGORY} string, tree int, sample int, feature array<int>, cut array<double>, "
-          "left array<int>, right array<int>, size array<int>")
+# One tree as arrays in heap order: node i has the children 2i + 1 and 2i + 2; a leaf has feature -1.
+FOREST = f"{CATEGORY} string, tree int, sample int, feature array<int>, cut array<double>, size array<int>"
 
 
 def _path_left(n) -> np.ndarray:
@@ -32,45 +31,52 @@ def _path_left(n) -> np.ndarray:
     return np.where(n > 2, 2 * harmonic - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def _grow(x: np.ndarray, rng: np.random.Generator) -> dict[str, list]:
-    """One random tree: split a random feature at a random place until points are alone or depth ends."""
-    deepest = int(np.ceil(np.log2(max(len(x), 2))))
-    tree = {"feature": [], "cut": [], "left": [], "right": [], "size": []}
-    todo = [(np.arange(len(x)), 0, None, None)]
-    while todo:
-        members, depth, parent, side = todo.pop()
-        node = len(tree["size"])
-        if parent is not None:
-            tree[side][parent] = node
-        part = x[members]
-        varied = np.flatnonzero(part.max(axis=0) > part.min(axis=0))
-        split = depth < deepest and len(members) > 1 and len(varied) > 0
-        feature = int(rng.choice(varied)) if split else -1
-        place = float(rng.uniform(part[:, feature].min(), part[:, feature].max())) if split else 0.0
-        for name, value in (("feature", feature), ("cut", place), ("left", -1), ("right", -1),
-                            ("size", len(members))):
-            tree[name].append(value)
-        if split:
-            below = part[:, feature] <= place
-            todo.append((members[~below], depth + 1, node, "right"))
-            todo.append((members[below], depth + 1, node, "left"))
-    return tree
-
-
-def _depths(x: np.ndarray, tree) -> np.ndarray:
+def _grow(x: np.ndarray, rng: np.random.Generator, n_trees: int, size: int) -> list[dict]:
+    """All trees of a forest, level by level.
+
+    Every tree gets its own sample. A node splits a random feature that varies in it at a random place,
+    until points are alone or alike or the depth log2(sample) is reached.
+    """
+    picks = np.array([rng.choice(len(x), size, replace=False) for _ in range(n_trees)])
+    depth = int(np.ceil(np.log2(max(size, 2))))
+    n_nodes, n_features = 2 ** (depth + 1) - 1, x.shape[1]
+    feature, place = np.full(n_trees * n_nodes, -1), np.zeros(n_trees * n_nodes)
+    held = np.zeros(n_trees * n_nodes, dtype=int)
+    point, tree = picks.ravel(), np.repeat(np.arange(n_trees), size)
+    node = np.zeros(len(point), dtype=int)
+    for level in range(depth + 1):
+        spot = tree * n_nodes + node
+        held += np.bincount(spot, minlength=len(held))
+        if level == depth or len(point) == 0:
+            break
+        here, index = np.unique(spot, return_inverse=True)
+        low, high = np.full((n_features, len(here)), np.inf), np.full((n_features, len(here)), -np.inf)
+        for f in range(n_features):
+            np.minimum.at(low[f], index, x[point, f])
+            np.maximum.at(high[f], index, x[point, f])
+        draw = np.where(high > low, rng.random(low.shape), -1.0)
+        chosen, at = draw.argmax(axis=0), np.arange(len(here))
+        split = draw.max(axis=0) >= 0
+        feature[here] = np.where(split, chosen, -1)
+        place[here] = low[chosen, at] + rng.random(len(here)) * (high - low)[chosen, at]
+        go = split[index]
+        point, tree, node, spot = point[go], tree[go], node[go], spot[go]
+        node = 2 * node + 1 + (x[point, feature[spot]] > place[spot])
+    shape = (n_trees, n_nodes)
+    return [{"tree": i, "sample": size, "feature": f, "cut": p, "size": h}
+            for i, (f, p, h) in enumerate(zip(feature.reshape(shape), place.reshape(shape), held.reshape(shape)))]
+
+
+def _depths(x: np.ndarray, feature: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Path length of every row in one tree, level by level for all rows at once."""
-    feature, place = np.asarray(tree.feature), np.asarray(tree.cut)
-    left, right, size = np.asarray(tree.left), np.asarray(tree.right), np.asarray(tree.size)
-    node = np.zeros(len(x), dtype=int)
-    depth = np.zeros(len(x))
-    while True:
-        inner = np.flatnonzero(feature[node] >= 0)
-        if len(inner) == 0:
-            return depth + _path_left(size[node])
+    node, depth = np.zeros(len(x), dtype=int), np.zeros(len(x))
+    inner = np.flatnonzero(feature[node] >= 0)
+    while len(inner):
         at = node[inner]
-        below = x[inner, feature[at]] <= place[at]
-        node[inner] = np.where(below, left[at], right[at])
+        node[inner] = 2 * at + 1 + (x[inner, feature[at]] > place[at])
         depth[inner] += 1
+        inner = inner[feature[node[inner]] >= 0]
+    return depth + _path_left(size[node])
 
 
 def fit_forest(rows: DataFrame, sizes: DataFrame, cfg: LedgerConfig = DEFAULT) -> DataFrame:
@@ -84,13 +90,8 @@ def fit_forest(rows: DataFrame, sizes: DataFrame, cfg: LedgerConfig = DEFAULT) -
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(FEATURES, kind="mergesort")
         x = part[FEATURES].to_numpy(float)
-        size = min(per_tree, len(x))
-        out = []
-        for number in range(n_trees):
-            rng = np.random.default_rng([seed, number])
-            tree = _grow(x[rng.choice(len(x), size, replace=False)], rng)
-            out.append({CATEGORY: part[CATEGORY].iloc[0], "tree": number, "sample": size, **tree})
-        return pd.DataFrame(out)
+        trees = _grow(x, np.random.default_rng(seed), n_trees, min(per_tree, len(x)))
+        return pd.DataFrame(trees).assign(**{CATEGORY: part[CATEGORY].iloc[0]})
 
     return sample.groupBy(CATEGORY).applyInPandas(fit, FOREST)
 
@@ -123,7 +124,7 @@ def isolation_scores(features: DataFrame, cfg: LedgerConfig = DEFAULT) -> DataFr
         x = part[FEATURES].to_numpy(float)
         depth = np.zeros(len(x))
         for tree in trees.sort_values("tree").itertuples():
-            depth += _depths(x, tree)
+            depth += _depths(x, np.asarray(tree.feature), np.asarray(tree.cut), np.asarray(tree.size))
         usual = len(trees) * float(_path_left([trees["sample"].iloc[0]])[0])
         return out.assign(raw=-np.power(2.0, -depth / usual))
 

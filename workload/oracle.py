@@ -28,10 +28,15 @@ def _with(needs: str) -> str:
     return "WITH " + ",\n".join(f"{name} AS ({CTES[name][1]})" for name in order) + "\n" if order else ""
 
 
+def rounded(value: str, digits: int) -> str:
+    """A double rounded half up in its shortest decimal form, as Spark rounds."""
+    return f"CAST(round(CAST(CAST({value} AS VARCHAR) AS DECIMAL(38, 17)), {digits}) AS DOUBLE)"
+
+
 def oracle(name: str, needs: str, select: str, doubles: str = "", digits: int = 4) -> None:
     """Register a query; the named double columns are rounded for comparison."""
     if doubles:
-        replaced = ", ".join(f"round({c}, {digits}) + 0.0::DOUBLE AS {c}" for c in doubles.split())
+        replaced = ", ".join(f"{rounded(c, digits)} + 0.0::DOUBLE AS {c}" for c in doubles.split())
         select = f"SELECT * REPLACE ({replaced}) FROM ({select}) AS result"
     ORACLE[name] = _with(needs) + select
 
@@ -383,7 +388,7 @@ FEATURES = {
     "w9_deviations": "deviation_from_equipment_mean deviation_from_category_median",
 }
 for _name, _columns in FEATURES.items():
-    oracle(_name, "lines_feat", f"SELECT {K}, date, {_columns.replace(' ', ', ')} FROM lines_feat", _columns)
+    oracle(_name, "lines_feat", f"SELECT {K}, date, {_columns.replace(' ', ', ')} FROM lines_feat", _columns, 8)
 oracle("w10_calendar", "lines_feat", f"SELECT {K}, date, day_of_week, month_num FROM lines_feat")
 oracle("w11_sufficiency", "lines_feat", f"SELECT {K}, date, n_observations, sufficient FROM lines_feat")
 oracle("a1_robust_z", "lines_report", f"SELECT {K}, date, robust_z_score FROM lines_report", "robust_z_score")
@@ -420,9 +425,9 @@ cte("scan", "series", f"""SELECT {K}, date, fuel_liter, position, coalesce(ratio
                  - avg(fuel_liter) OVER ({W} 7 PRECEDING AND 1 PRECEDING))
             / nullif(stddev_pop(fuel_liter) OVER ({W} 7 PRECEDING AND 6 FOLLOWING), 0) END AS ratio
         FROM series WHERE n_observations >= 30))""")
-cte("changes", "scan", f"""SELECT {K}, change_date, round(b_mean, 1) AS before_mean, round(a_mean, 1) AS after_mean,
-      round(b_std, 1) AS before_std, round(a_std, 1) AS after_std, round(a_mean - b_mean, 1) AS absolute_change,
-      round(pct, 1) AS percentage_change, b_n AS n_obs_before, a_n AS n_obs_after,
+cte("changes", "scan", f"""SELECT {K}, change_date, {rounded('b_mean', 1)} AS before_mean,
+      {rounded('a_mean', 1)} AS after_mean, {rounded('b_std', 1)} AS before_std, {rounded('a_std', 1)} AS after_std,
+      {rounded('a_mean - b_mean', 1)} AS absolute_change, {rounded('pct', 1)} AS percentage_change, b_n AS n_obs_before, a_n AS n_obs_after,
       CASE WHEN pct >= 15 OR b_mean = 0 THEN CASE WHEN a_mean > b_mean THEN 'INCREASE' ELSE 'DECREASE' END
         WHEN abs(a_std - b_std) / nullif(b_std, 0) * 100 >= 30 OR b_std = 0
           THEN CASE WHEN a_std > b_std THEN 'VOLATILITY_INCREASE' ELSE 'VOLATILITY_DECREASE' END
@@ -576,9 +581,9 @@ oracle("h11_recommended_action", "health", f"SELECT {K}, recommended_action FROM
 
 
 def growth(source: str) -> str:
-    return f"""SELECT {K}, CASE WHEN count(*) >= 3 THEN regr_slope(used, at) / nullif(avg(used), 0) * 100 END
+    return f"""SELECT {K}, CASE WHEN count(*) >= 3 THEN regr_slope(used, pos) / nullif(avg(used), 0) * 100 END
         AS monthly_growth
-      FROM (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY m) AS at
+      FROM (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY m) AS pos
         FROM (SELECT {K}, date_trunc('month', date) AS m, sum(fuel_liter) AS used FROM {source}_used GROUP BY ALL))
       GROUP BY {K}"""
 
@@ -712,8 +717,8 @@ oracle("f4_moving_average_30", "ends flags", f"SELECT * FROM ({average_path(30,
 
 def one_step(expression: str) -> str:
     return f"""SELECT series_key, date, y AS actual_fuel, f AS forecast_fuel FROM (SELECT *, {expression} AS f,
-        row_number() OVER ({S}) AS at, count(*) OVER (PARTITION BY series_key) AS n FROM flags)
-      WHERE at > n - CASE WHEN n < 100 THEN greatest(10, n - 40) ELSE 60 END"""
+        row_number() OVER ({S}) AS pos, count(*) OVER (PARTITION BY series_key) AS n FROM flags)
+      WHERE pos > n - CASE WHEN n < 100 THEN greatest(10, n - 40) ELSE 60 END"""
 
 
 def tested(expression: str, model: str) -> str:

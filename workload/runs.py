@@ -308,7 +308,7 @@ def u17_top_gaps(spark, d):
 
 def feature_query(name: str, *columns: str):
     def run(spark, d):
-        return shown(features.unit_features(clean_lines(spark, d)).select(*UNIT_KEY, DATE, *columns))
+        return shown(features.unit_features(clean_lines(spark, d)).select(*UNIT_KEY, DATE, *columns), 8)
 
     run.__name__ = name
     return query(run)
