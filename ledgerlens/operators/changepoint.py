@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ledgerlens.config import DEFAULT, LedgerConfig
 from ledgerlens.operators.cleaning import analysed
 from ledgerlens.schema import AMOUNT, CATEGORY, DATE, ROW_ORDER, UNIT_KEY
+from ledgerlens.scratch import spread
 
 SIDE = 7
 
@@ -105,7 +106,7 @@ def kernel_changes(series: DataFrame, cfg: LedgerConfig = DEFAULT) -> DataFrame:
         return part.assign(is_change=part["position"].isin(starts))
 
     rows = series.where(F.col("n_observations") >= cfg.change_min_observations)
-    found = rows.select(*UNIT_KEY, "position", DATE, AMOUNT).groupBy(*UNIT_KEY).applyInPandas(
+    found = spread(rows.select(*UNIT_KEY, "position", DATE, AMOUNT), *UNIT_KEY).groupBy(*UNIT_KEY).applyInPandas(
         segment, f"{CATEGORY} string, equipment_id string, position int, {DATE} date, {AMOUNT} double, "
                  "is_change boolean")
     return found.withColumns(_shift_columns())

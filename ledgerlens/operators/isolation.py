@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from ledgerlens.config import DEFAULT, LedgerConfig
 from ledgerlens.functions.ranks import group_quantiles
 from ledgerlens.schema import AMOUNT, CATEGORY, DATE, UNIT
-from ledgerlens.scratch import cut, join_measured
+from ledgerlens.scratch import cut, join_measured, spread
 
 FEATURES = [AMOUNT, "deviation_from_category_median", "day_of_week", "month_num"]
-ROWS_PER_TASK = 100_000
+ROWS_PER_TASK = 25_000
 
 # One tree as arrays in heap order: node i has the children 2i + 1 and 2i + 2; a leaf has feature -1.
 FOREST = f"{CATEGORY} string, tree int, sample int, feature array<int>, cut array<double>, size array<int>"
@@ -93,7 +93,7 @@ def fit_forest(rows: DataFrame, sizes: DataFrame, cfg: LedgerConfig = DEFAULT) -
         trees = _grow(x, np.random.default_rng(seed), n_trees, min(per_tree, len(x)))
         return pd.DataFrame(trees).assign(**{CATEGORY: part[CATEGORY].iloc[0]})
 
-    return sample.groupBy(CATEGORY).applyInPandas(fit, FOREST)
+    return spread(sample, CATEGORY).groupBy(CATEGORY).applyInPandas(fit, FOREST)
 
 
 def isolation_scores(features: DataFrame, cfg: LedgerConfig = DEFAULT) -> DataFrame:
@@ -112,7 +112,7 @@ def isolation_scores(features: DataFrame, cfg: LedgerConfig = DEFAULT) -> DataFr
     sizes = cut(sizes)
     forest = cut(fit_forest(rows, sizes, cfg))
     salts = F.greatest(F.lit(1), F.ceil(F.col("n_rows") / ROWS_PER_TASK)).cast("int")
-    spread = (join_measured(rows, sizes, CATEGORY, "inner")
+    salted = (join_measured(rows, sizes, CATEGORY, "inner")
               .withColumn("salt", F.pmod(F.xxhash64(UNIT, DATE), salts).cast("int"))
               .select(CATEGORY, UNIT, DATE, "salt", *FEATURES))
     copies = forest.join(sizes, CATEGORY).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
@@ -128,7 +128,8 @@ def isolation_scores(features: DataFrame, cfg: LedgerConfig = DEFAULT) -> DataFr
         usual = len(trees) * float(_path_left([trees["sample"].iloc[0]])[0])
         return out.assign(raw=-np.power(2.0, -depth / usual))
 
-    raw = cut(spread.groupBy(CATEGORY, "salt").cogroup(copies.groupBy(CATEGORY, "salt"))
+    groups = [spread(rows, CATEGORY, "salt").groupBy(CATEGORY, "salt") for rows in (salted, copies)]
+    raw = cut(groups[0].cogroup(groups[1])
               .applyInPandas(score, f"{CATEGORY} string, {UNIT} string, {DATE} date, raw double"))
     zero = group_quantiles(raw, [CATEGORY], "raw", {"zero": cfg.contamination})
     scores = join_measured(raw, zero, CATEGORY).select(

@@ -11,7 +11,7 @@ from ledgerlens.config import DEFAULT, LedgerConfig
 from ledgerlens.operators.forecast import (CALENDAR, FEATURES, KEY, LAGS, MEANS, SPREADS, _mean_of,
                                            calendar_columns, feature_matrix, tails)
 from ledgerlens.schema import DATE
-from ledgerlens.scratch import cut
+from ledgerlens.scratch import cut, spread
 
 MIN_ROWS = 40
 STEPS_PER_CUT = 5
@@ -20,7 +20,7 @@ STEPS_PER_CUT = 5
 def estimator(model: str, cfg: LedgerConfig = DEFAULT):
     """The regressor of a model name."""
     if model == "random_forest":
-        return RandomForestRegressor(labelCol="y", numTrees=300, maxDepth=8, maxBins=64, seed=cfg.seed,
+        return RandomForestRegressor(labelCol="y", numTrees=300, maxDepth=8, maxBins=64, maxMemoryInMB=1024, seed=cfg.seed,
                                      featureSubsetStrategy="all")
     if model == "hist_gradient_boosting":
         return GBTRegressor(labelCol="y", maxDepth=6, maxIter=100, stepSize=0.1, maxBins=64, seed=cfg.seed)
@@ -33,7 +33,8 @@ def _vectors(rows: DataFrame) -> DataFrame:
 
 def train(series: DataFrame, model: str, cfg: LedgerConfig = DEFAULT, learner=None):
     """Model fitted on all complete feature rows of all series."""
-    rows = cut(_vectors(feature_matrix(series).where(F.col("y").isNotNull())).select("features", "y"))
+    rows = _vectors(feature_matrix(series).where(F.col("y").isNotNull())).select(KEY, DATE, "features", "y")
+    rows = cut(spread(rows, KEY, DATE))
     if rows.count() < MIN_ROWS:
         raise ValueError(f"at least {MIN_ROWS} complete days are needed")
     return (learner or estimator(model, cfg)).fit(rows)
@@ -64,6 +65,7 @@ def learned_path(series: DataFrame, horizon: int, model: str, cfg: LedgerConfig
 
     The state is one short array per series. Lineage is cut every few days.
     """
+    series = cut(series)
     fitted = train(series, model, cfg, learner)
     state = tails(series).withColumn("path", F.array().cast("array<double>"))
     for step in range(1, horizon + 1):
@@ -79,7 +81,7 @@ def learned_path(series: DataFrame, horizon: int, model: str, cfg: LedgerConfig
                        (F.col("at") + 1).alias("step"))
 
 
-def walk_forward(rows: DataFrame, model: str, cfg: LedgerConfig = DEFAULT, refit_every: int = 60,
+def walk_forward(rows: DataFrame, model: str, cfg: LedgerConfig = DEFAULT, refit_every: int = 1,
                  learner=None) -> DataFrame:
     """One-step forecasts of the evaluated rows.
 
@@ -95,7 +97,7 @@ def walk_forward(rows: DataFrame, model: str, cfg: LedgerConfig = DEFAULT, refit
     out = None
     for block in range(n_blocks):
         known = _vectors(blocks.where((F.col("_block") < block) & F.col("y").isNotNull()))
-        fitted = (learner or estimator(model, cfg)).fit(known.select("features", "y"))
+        fitted = (learner or estimator(model, cfg)).fit(spread(known, KEY, DATE).select("features", "y"))
         tested = fitted.transform(_vectors(blocks.where((F.col("_block") == block) & F.col("evaluated"))))
         tested = tested.select(KEY, DATE, "y", F.col("prediction").alias("forecast_fuel"))
         out = tested if out is None else out.unionByName(tested)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerlens.config import DEFAULT, LedgerConfig
 from ledgerlens.operators.forecast import KEY
 from ledgerlens.schema import DATE
+from ledgerlens.scratch import spread
 
 SEASON = 7
 
@@ -81,7 +82,7 @@ def holt_winters_path(series: DataFrame, horizon: int, model: str = "holt_winter
                                                            for i in range(horizon)],
                              "forecast": ahead, "step": np.arange(1, horizon + 1)})
 
-    found = series.select(KEY, DATE, "y").groupBy(KEY).applyInPandas(
+    found = spread(series.select(KEY, DATE, "y"), KEY).groupBy(KEY).applyInPandas(
         one, f"{KEY} string, {DATE} date, forecast double, step int")
     return found.withColumn("forecast", F.nanvl("forecast", F.lit(None)))
 
@@ -97,7 +98,7 @@ def walk_forward(rows: DataFrame, model: str = "holt_winters", cfg: LedgerConfig
         step = fit_forecast(part["y"].to_numpy(float), 1)[0]
         return pd.DataFrame({KEY: [key[0]], "origin": [key[1]], "forecast_fuel": [step]})
 
-    steps = history.groupBy(KEY, "origin").applyInPandas(
+    steps = spread(history, KEY, "origin").groupBy(KEY, "origin").applyInPandas(
         one, f"{KEY} string, origin int, forecast_fuel double")
     return (origins.join(steps, [KEY, "origin"])
             .select(KEY, F.col("origin_date").alias(DATE), F.col("actual").alias("y"),

@@ -36,6 +36,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Place groups on as many tasks as a shuffle has partitions.
+
+    Adaptive execution merges partitions that are small in bytes, which would put groups that are small
+    but costly to compute into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def join_measured(left: DataFrame, small: DataFrame, on, how: str = "left",
                   limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join a per-group table whose size is measured first.

@@ -10,6 +10,7 @@ from ledgerlens import fixed_values as fv
 from ledgerlens.functions.calc import lookup
 from ledgerlens.functions.text import cell_value
 from ledgerlens.schema import AMOUNT, CATEGORY, DATE, LEDGER_COLUMNS, UNIT
+from ledgerlens.scratch import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +49,10 @@ def events_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as hand-written cells: the number in props decides how a cell is filled and an id is spelt."""
+    """events as hand-written cells: the number in props decides how a cell is filled and an id is spelt.
+
+    Written once, as cells are an input that several steps read.
+    """
     rows = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     k, value, user = F.col("k"), F.col("value").cast("string"), F.col("user_id").cast("string")
     text = (F.when(k < 8, "").when(k < 16, " full").when(k < 20, "in  shop").when(k < 40, F.replace(value, F.lit("."), F.lit(",")))
@@ -56,8 +60,8 @@ def raw_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = (F.when(k < 30, F.concat(F.lit("U "), user)).when(k < 60, F.concat(F.lit(" U  "), user, F.lit(" / old 1")))
             .when(k < 90, F.concat(F.lit("u-"), user)).otherwise(F.concat(F.lit("U"), user)))
     date = F.when(k < 97, F.to_date("ts"))
-    return rows.select("event_id", date.alias(DATE), F.col("event_type").alias(CATEGORY), unit.alias(UNIT),
-                       text.alias("text"))
+    return cut(rows.select("event_id", date.alias(DATE), F.col("event_type").alias(CATEGORY), unit.alias(UNIT),
+                           text.alias("text")))
 
 
 def mixed_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

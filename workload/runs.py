@@ -38,6 +38,11 @@ def clean_lines(spark, d):
     return cleaning.clean(b.lines_ledger(spark, d))
 
 
+def kept_lines(spark, d):
+    """The cleaned lines ledger written once, for queries that read it more than once."""
+    return cut(clean_lines(spark, d))
+
+
 def clean_mixed(spark, d):
     return cleaning.clean(b.mixed_ledger(spark, d))
 
@@ -48,7 +53,7 @@ def flag_series(spark, d):
 
 
 def lines_report(spark, d):
-    return anomaly.anomaly_report(clean_lines(spark, d), use_forest=False)
+    return anomaly.anomaly_report(kept_lines(spark, d), use_forest=False)
 
 
 def lines_changes(spark, d, cleaned=None):
@@ -61,7 +66,7 @@ def lines_by_category(spark, d, cleaned=None):
 
 
 def lines_health(spark, d):
-    cleaned = cut(clean_lines(spark, d))
+    cleaned = kept_lines(spark, d)
     wape = monitoring.overall_metrics(monitoring.forecast_errors(
         monitoring.placeholder_forecast(forecast.daily_series(cleaned)))).select("wape").scalar()
     return health.health_scores(cleaned, anomaly.anomaly_report(cleaned, use_forest=False),
@@ -308,7 +313,7 @@ def u17_top_gaps(spark, d):
 
 def feature_query(name: str, *columns: str):
     def run(spark, d):
-        return shown(features.unit_features(clean_lines(spark, d)).select(*UNIT_KEY, DATE, *columns), 8)
+        return shown(features.unit_features(kept_lines(spark, d)).select(*UNIT_KEY, DATE, *columns), 8)
 
     run.__name__ = name
     return query(run)
@@ -340,7 +345,7 @@ def a1_robust_z(spark, d):
 
 @query
 def a2_isolation_forest(spark, d):
-    rows = isolation.isolation_scores(features.unit_features(clean_lines(spark, d)))
+    rows = isolation.isolation_scores(features.unit_features(kept_lines(spark, d)))
     return shown(rows.select(*UNIT_KEY, DATE, "isolation_score"))
 
 
@@ -367,7 +372,7 @@ def a5_anomaly_report_events(spark, d):
 
 @query
 def a5_anomaly_report_with_forest(spark, d):
-    return shown(anomaly.anomaly_report(clean_lines(spark, d)))
+    return shown(anomaly.anomaly_report(kept_lines(spark, d)))
 
 
 @query
@@ -496,7 +501,7 @@ def h11_recommended_action(spark, d):
 # --- segments ------------------------------------------------------------------------------------
 
 def line_profiles(spark, d):
-    cleaned = cut(clean_lines(spark, d))
+    cleaned = kept_lines(spark, d)
     return segments.unit_profiles(cleaned, anomaly.anomaly_report(cleaned, use_forest=False))
 
 
@@ -571,7 +576,7 @@ def g8_sparse_units(spark, d):
 
 @query
 def g9_segment_summary(spark, d):
-    cleaned = cut(clean_lines(spark, d))
+    cleaned = kept_lines(spark, d)
     return segments.segment_summary(segments.segments(cleaned, anomaly.anomaly_report(cleaned, use_forest=False)))
 
 
