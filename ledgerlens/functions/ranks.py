@@ -17,11 +17,12 @@ from pyspark.sql.window import Window
 
 def _band(value: Column) -> Column:
     """Bands 0.1 % wide in relative terms, in the order of the values."""
-    return (F.signum(value) * F.floor(F.log1p(F.abs(value)) * 1000)).cast("long")
+    size = F.floor(F.least(F.log1p(F.abs(value)) * 1000, F.lit(1e9)))
+    return (F.signum(value) * size).cast("long")
 
 
 def _counted(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    present = df.where(F.col(value).isNotNull())
+    present = df.where(F.col(value).isNotNull() & ~F.isnan(value))
     return (present.groupBy(*keys, F.col(value)).agg(F.count(F.lit(1)).alias("_ties"))
             .withColumn("_band", _band(F.col(value))))
 
