@@ -176,10 +176,13 @@ def climatology(series: DataFrame, targets: DataFrame, cfg: LedgerConfig = DEFAU
     an equi-join; with fewer than three values the whole history serves.
     """
     past = series.where(F.col("y").isNotNull()).select(KEY, F.dayofyear(DATE).alias("doy"), "y")
-    away = F.abs(F.col("day") - F.dayofyear("target_date"))
+    def is_near(day: Column) -> Column:
+        away = F.abs(day - F.dayofyear("target_date"))
+        return F.least(away, 365 - away) <= cfg.climatology_days
+
+    year = F.sequence(F.lit(1), F.lit(366))
     near = (targets.select(KEY, "target_date").distinct()
-            .withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(366))))
-            .where(F.least(away, 365 - away) <= cfg.climatology_days))
+            .withColumn("day", F.explode(F.filter(year, is_near))))
 
     def figures(prefix: str) -> list[Column]:
         return [F.avg("y").alias(f"{prefix}point"), F.percentile("y", 0.1).alias(f"{prefix}lower"),

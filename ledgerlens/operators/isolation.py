@@ -18,7 +18,10 @@ from ledgerlens.schema import AMOUNT, CATEGORY, DATE, UNIT
 from ledgerlens.scratch import cut, join_measured, spread
 
 FEATURES = [AMOUNT, "deviation_from_category_median", "day_of_week", "month_num"]
-ROWS_PER_TASK = 25_000
+# Rows scored beside one copy of a category's trees (1.6 MB). Small categories are split further, for
+# parallelism, down to the second figure.
+ROWS_PER_TASK = 200_000
+LEAST_ROWS_PER_TASK = 10_000
 
 # One tree as arrays in heap order: node i has the children 2i + 1 and 2i + 2; a leaf has feature -1.
 FOREST = f"{CATEGORY} string, tree int, sample int, feature array<int>, cut array<double>, size array<int>"
@@ -111,7 +114,9 @@ def isolation_scores(features: DataFrame, cfg: LedgerConfig = DEFAULT) -> DataFr
              .where(F.col("n_rows") >= cfg.forest_min_rows))
     sizes = cut(sizes)
     forest = cut(fit_forest(rows, sizes, cfg))
-    salts = F.greatest(F.lit(1), F.ceil(F.col("n_rows") / ROWS_PER_TASK)).cast("int")
+    tasks = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = F.greatest(F.ceil(F.col("n_rows") / ROWS_PER_TASK),
+                       F.least(F.ceil(F.col("n_rows") / LEAST_ROWS_PER_TASK), F.lit(tasks))).cast("int")
     salted = (join_measured(rows, sizes, CATEGORY, "inner")
               .withColumn("salt", F.pmod(F.xxhash64(UNIT, DATE), salts).cast("int"))
               .select(CATEGORY, UNIT, DATE, "salt", *FEATURES))

@@ -67,10 +67,9 @@ def save_tables(tables: Mapping[str, DataFrame], folder: str, fmt: str = "parque
 def save_ledger(cleaned: DataFrame, folder: str) -> str:
     """Cleaned ledger by year and month, so date filters skip whole folders.
 
-    Rows meet by month before the write and the writer splits a large month into files of bounded size.
+    Rows of a month meet before the write; adaptive execution splits a month that is too large for one
+    task and merges small ones.
     """
     path = f"{folder.rstrip('/')}/cleaned_ledger"
-    spread = cleaned.repartition("year", "month", F.pmod(F.xxhash64("equipment_id"), F.lit(16)))
-    (spread.write.mode("overwrite").option("maxRecordsPerFile", 20_000_000).partitionBy("year", "month")
-     .parquet(path))
+    cleaned.hint("rebalance", "year", "month").write.mode("overwrite").partitionBy("year", "month").parquet(path)
     return path
