@@ -116,3 +116,10 @@ def test_published_limits_are_used(ledger, spark):
     limits = spark.createDataFrame([("A", 5.0)], "equipment_category string, high_limit double")
     got = statuses(cleaning.clean(ledger([("2025-01-01", "A", "u", 4), ("2025-01-02", "A", "u", 6)]), limits=limits))
     assert got == ["VALID", "UNUSUALLY_HIGH"]
+
+
+def test_a_key_with_most_rows_stays_whole(ledger):
+    rows = [("2025-01-01", "A", "hot", i % 7) for i in range(600)] + [
+        (f"2025-01-{1 + i % 28:02d}", "A", f"u{i}", i % 7) for i in range(300)]
+    counts = {r.data_status: r["count"] for r in cleaning.clean(ledger(rows)).groupBy("data_status").count().collect()}
+    assert counts == {"DUPLICATE": 600, "VALID": 300}

@@ -502,7 +502,7 @@ def h11_recommended_action(spark, d):
 
 def line_profiles(spark, d):
     cleaned = kept_lines(spark, d)
-    return segments.unit_profiles(cleaned, anomaly.anomaly_report(cleaned, use_forest=False))
+    return cut(segments.unit_profiles(cleaned, anomaly.anomaly_report(cleaned, use_forest=False)))
 
 
 def quadrants(units):
@@ -564,7 +564,7 @@ def g7_cluster_descriptions(spark, d):
 
 @query
 def g8_small_categories(spark, d):
-    profiles = segments.unit_profiles(cleaning.clean(b.suppliers_ledger(spark, d)))
+    profiles = cut(segments.unit_profiles(cut(cleaning.clean(b.suppliers_ledger(spark, d)))))
     return segments.label_units(segments.complete_units(profiles)).select(*UNIT_KEY, "cluster_id", "cluster_label")
 
 
