@@ -58,16 +58,19 @@ def calendar_columns(day: Column) -> dict[str, Column]:
     }
 
 
-def feature_matrix(series: DataFrame) -> DataFrame:
-    """Calendar, lag and trailing columns from prior days only; a trailing value needs a full window."""
+def feature_matrix(series: DataFrame, full_windows: bool = True) -> DataFrame:
+    """Calendar, lag and trailing columns from prior days only.
+
+    For training a trailing value needs a full window; for prediction missing days are skipped.
+    """
+    def trailing(value: Column, n: int) -> Column:
+        prior = _order().rowsBetween(-n, -1)
+        return F.when(F.count("y").over(prior) == n, value.over(prior)) if full_windows else value.over(prior)
+
     columns = calendar_columns(F.col(DATE))
     columns.update({f"lag_{n}": F.lag("y", n).over(_order()) for n in LAGS})
-    for n in MEANS:
-        prior = _order().rowsBetween(-n, -1)
-        columns[f"rolling_mean_{n}"] = F.when(F.count("y").over(prior) == n, F.avg("y").over(prior))
-    for n in SPREADS:
-        prior = _order().rowsBetween(-n, -1)
-        columns[f"rolling_std_{n}"] = F.when(F.count("y").over(prior) == n, F.stddev_samp("y").over(prior))
+    columns.update({f"rolling_mean_{n}": trailing(F.avg("y"), n) for n in MEANS})
+    columns.update({f"rolling_std_{n}": trailing(F.stddev_samp("y"), n) for n in SPREADS})
     return series.withColumns(columns)
 
 

@@ -27,8 +27,9 @@ def estimator(model: str, cfg: LedgerConfig = DEFAULT):
     raise ValueError(f"unknown model: {model}")
 
 
-def _vectors(rows: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="skip").transform(rows)
+def _vectors(rows: DataFrame, invalid: str = "skip") -> DataFrame:
+    """Rows with a feature vector; training skips incomplete rows, prediction keeps them."""
+    return VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid=invalid).transform(rows)
 
 
 def train(series: DataFrame, model: str, cfg: LedgerConfig = DEFAULT, learner=None):
@@ -70,7 +71,7 @@ def learned_path(series: DataFrame, horizon: int, model: str, cfg: LedgerConfig
     state = tails(series).withColumn("path", F.array().cast("array<double>"))
     for step in range(1, horizon + 1):
         rows = state.withColumns(state_features(F.date_add("last_date", step)))
-        guess = fitted.transform(_vectors(rows)).select(KEY, "last_date", "tail", "path", "prediction")
+        guess = fitted.transform(_vectors(rows, "keep")).select(KEY, "last_date", "tail", "path", "prediction")
         grown = F.concat(F.slice("tail", 2, 60), F.array("prediction"))
         state = guess.select(KEY, "last_date", grown.alias("tail"),
                              F.concat("path", F.array("prediction")).alias("path"))
@@ -88,17 +89,17 @@ def walk_forward(rows: DataFrame, model: str, cfg: LedgerConfig = DEFAULT, refit
     The model is refitted on the days before each block of `refit_every` evaluated days; 1 refits for
     every day. Features always come from the days before the predicted one.
     """
-    features = cut(feature_matrix(rows))
-    first = features.where("evaluated").groupBy(KEY).agg(F.min("position").alias("_first"))
-    blocks = features.join(first, KEY, "left").withColumn(
-        "_block", F.floor((F.col("position") - F.col("_first")) / refit_every).cast("int"))
-    blocks = cut(blocks)
-    n_blocks = blocks.where("evaluated").agg(F.max("_block")).first()[0] + 1
+    first = rows.where("evaluated").groupBy(KEY).agg(F.min("position").alias("_first"))
+    block_of = F.floor((F.col("position") - F.col("_first")) / refit_every).cast("int")
+    rows = cut(rows.join(first, KEY, "left").withColumn("_block", block_of))
+    known = cut(_vectors(feature_matrix(rows).where(F.col("y").isNotNull())))
+    asked = cut(_vectors(feature_matrix(rows, full_windows=False).where("evaluated"), "keep"))
+    n_blocks = asked.agg(F.max("_block")).first()[0] + 1
     out = None
     for block in range(n_blocks):
-        known = _vectors(blocks.where((F.col("_block") < block) & F.col("y").isNotNull()))
-        fitted = (learner or estimator(model, cfg)).fit(spread(known, KEY, DATE).select("features", "y"))
-        tested = fitted.transform(_vectors(blocks.where((F.col("_block") == block) & F.col("evaluated"))))
+        earlier = spread(known.where(F.col("_block") < block), KEY, DATE).select("features", "y")
+        fitted = (learner or estimator(model, cfg)).fit(earlier)
+        tested = fitted.transform(asked.where(F.col("_block") == block))
         tested = tested.select(KEY, DATE, "y", F.col("prediction").alias("forecast_fuel"))
         out = tested if out is None else out.unionByName(tested)
     return out

@@ -96,6 +96,13 @@ def test_learned_model_beats_the_mean(series):
     assert len(ahead) == 7 and np.abs(ahead.forecast - weekly(207)[200:]).mean() < 12
     rows = forecast.backtest_rows(series(weekly(160, 1)), LedgerConfig(backtest_days=12))
     assert learned.walk_forward(rows, "random_forest", refit_every=6, learner=learner).count() == 12
+    holes = list(weekly(160, 1))
+    holes[150] = None
+    rows = forecast.backtest_rows(series(holes), LedgerConfig(backtest_days=12))
+    tested = learned.walk_forward(rows, "random_forest", refit_every=12, learner=learner)
+    assert tested.where("forecast_fuel IS NOT NULL").count() == 12
+    holes[-1] = 1.0
+    assert learned.learned_path(series(holes), 3, "random_forest", learner=learner).count() == 3
     with pytest.raises(ValueError):
         learned.train(series(range(35)), "random_forest", learner=learner)
 
