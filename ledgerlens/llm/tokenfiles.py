@@ -14,24 +14,21 @@ null doc_id comes first; an empty table gives a folder of no rows; other columns
 from __future__ import annotations
 
 import re
-import sys
 import zlib
-from array import array
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
-from public_tokenizers import PATTERN
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Memo, batch, file_bytes, partitions, texts_of
+from .common import batch, file_bytes, partitions, slices, stored, texts_of
 
 SEGMENT = 1 << 20
-WORDS, PIECES = 400_000, 200_000
+WORDS = 900_000
+SLICE = 2_000_000
 # Between these, cutting a text at single spaces would move the borders of pieces.
 RUNS = re.compile(r"\s \s")
 
@@ -76,39 +73,57 @@ class EliasFano:
 
 
 class Encoder:
-    """The library's encoder; words and pieces that were met before are looked up, each with the space before it.
+    """The library's encoder; words that were met before are looked up, each with the space before it.
 
-    `pattern` is how the vocabulary's byte-level rule parts text. Pieces never reach from another character across the space after it, so this gives the ids of the whole text.
+    Pieces never reach from another character across the space after it, so words have the ids that they have in the
+    whole text, and the new words of many texts are encoded in one call, as one text of words.
     """
 
-    def __init__(self, content: bytes, pattern: str = PATTERN):
-        self.pattern = pattern
+    def __init__(self, content: bytes):
         self.tokenizer = Tokenizer.from_buffer(content)
-        self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
-        self.kind = "I" if self.wide else "H"
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)").search
-        self.find = regex.compile(self.pattern).findall
-        self.words = Memo(self.word, WORDS)
-        self.pieces = Memo(self.ids, PIECES)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.wide = max(vocabulary.values()) >= 1 << 16
+        self.kind, self.width = ("<u4", 4) if self.wide else ("<u2", 2)
+        # A byte is one character of a token's name.
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.sizes[[*vocabulary.values()]] = [len(t) for t in vocabulary]
+        self.words: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
-        packed = array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if sys.byteorder == "big":
-            packed.byteswap()
-        return packed.tobytes()
-
-    def word(self, word: str) -> bytes:
-        pieces = self.find(word)
-        if len(pieces) == 1 or self.special(word):
-            return self.ids(word)
-        return b"".join(map(self.pieces.__getitem__, pieces))
-
-    def encode(self, text: str) -> bytes:
-        if RUNS.search(text):
-            return self.ids(text)
-        first, *rest = text.split(" ")
-        return b"".join(map(self.words.__getitem__, chain([first] if first else [], [" " + x for x in rest])))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        """Encode new words: all in one call, but those that begin or end with white space of their own."""
+        if len(self.words) > WORDS:
+            self.words.clear()
+        new = [w for w in dict.fromkeys(words) if w[1:2].strip() and w[-1].strip() and w[0] == " "]
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(new)], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.cumsum([len(w.encode("utf-8", "surrogatepass")) for w in new])
+        cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
+        packed, cuts = ids.tobytes(), (cuts * self.width).tolist()
+        self.words.update((w, packed[a:b]) for w, a, b in zip(new, [0, *cuts], cuts))
+        for word in words:
+            if word not in self.words:
+                self.words[word] = self.ids(word)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        whole = [RUNS.search(t) is not None for t in texts]
+        words, ends = [], []
+        for text, apart in zip(texts, whole):
+            if text and not apart:
+                first, *rest = text.split(" ")
+                if first:
+                    words.append(first)
+                words += [" " + x for x in rest]
+            ends.append(len(words))
+        packed = [*map(self.words.get, words)]
+        new = [i for i, p in enumerate(packed) if p is None]
+        if new:
+            self.learn([words[i] for i in new])
+            for i in new:
+                packed[i] = self.words[words[i]]
+        return [self.ids(t) if apart else b"".join(packed[a:b])
+                for t, apart, a, b in zip(texts, whole, [0, *ends], ends)]
 
 
 _ENCODERS: dict[bytes, Encoder] = {}
@@ -142,16 +157,18 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0) -> None:
 
     def run(batches):
         own = encoder(content.value)
-        end, width = end_id.to_bytes(4 if own.wide else 2, "little"), 4 if own.wide else 2
+        end, width = end_id.to_bytes(own.width, "little"), own.width
         shard, at, held, ids, blocks = TaskContext.get().partitionId(), 0, 0, [], []
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), texts_of(b.column(1))):
-                blocks.append(own.encode(text) + end)
-                ids.append(doc_id)
-                held += len(blocks[-1]) // width
-                if held >= SEGMENT:
-                    yield segment(shard, at, ids, blocks, width)
-                    at, held, ids, blocks = at + held, 0, [], []
+            names, texts = b.column(0).to_pylist(), texts_of(b.column(1))
+            for lo, hi in slices([len(t) for t in texts], SLICE):
+                for doc_id, packed in zip(names[lo:hi], own.encode(texts[lo:hi])):
+                    blocks.append(packed + end)
+                    ids.append(doc_id)
+                    held += len(blocks[-1]) // width
+                    if held >= SEGMENT:
+                        yield segment(shard, at, ids, blocks, width)
+                        at, held, ids, blocks = at + held, 0, [], []
         if blocks:
             yield segment(shard, at, ids, blocks, width)
 
@@ -173,8 +190,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.schema(SEGMENTS_DDL).parquet(path)
     # One row per shard, so this order is over the files, not the documents.
     order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = (files.groupBy("shard").agg(F.sum("n_ids").alias("all")).withColumn("base", F.coalesce(
-        F.sum("all").over(order), F.lit(0))).select("shard", "base"))
+    bases = stored(files.groupBy("shard").agg(F.sum("n_ids").alias("all")).withColumn("base", F.coalesce(
+        F.sum("all").over(order), F.lit(0))).select("shard", "base"), "shards")
     placed = files.join(bases, "shard").withColumn("at", F.col("at") + F.col("base")).select(*files.columns)
 
     def run(batches):
