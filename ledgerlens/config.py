@@ -13,7 +13,6 @@ class LedgerConfig:
     known_statuses: tuple[str, ...] = fv.STATUS_TOKENS
     iqr_multiplier: float = 3.0
     iqr_min_values: int = 10
-    max_inline_variants: int = 1000
     # data quality
     gap_days: int = 14
     valid_pct_pass: float = 97.0
@@ -54,7 +53,7 @@ class LedgerConfig:
     segment_max_k: int = 6
     intermittent_ratio: float = 0.15
     growth_pct: float = 20.0
-    exact_silhouette_units: int = 2000
+    segment_starts: int = 4
     # forecasting
     wape_healthy: float = 10.0
     wape_monitor: float = 15.0

@@ -70,7 +70,10 @@ def clean(ledger: DataFrame, cfg: LedgerConfig = DEFAULT, limits: DataFrame | No
     """
     rows = standardised(ledger)
     limits = high_limits(rows, cfg) if limits is None else limits
-    rows = rows.join(repeated_keys(rows), [DATE, *UNIT_KEY], "left")
+    repeated = repeated_keys(rows)
+    # A missing unit or category is a key like any other; else its rows would have no bound per day.
+    same = [rows[c].eqNullSafe(repeated[c]) for c in (DATE, *UNIT_KEY)]
+    rows = rows.join(repeated, same, "left").select(rows["*"], "n_copies")
     rows = join_measured(rows, limits.select(CATEGORY, "high_limit"), CATEGORY)
     status = row_status(F.col(AMOUNT), F.col("status_text"), F.col(DATE), F.col("n_copies").isNotNull(),
                         F.col(AMOUNT) > F.col("high_limit"), cfg.known_statuses)
@@ -86,25 +89,18 @@ def variant_members(cleaned: DataFrame) -> DataFrame:
     return units.join(sizes.where("n_spellings > 1"), [CATEGORY, "match_key"])
 
 
-def unit_master(cleaned: DataFrame, cfg: LedgerConfig = DEFAULT) -> DataFrame:
-    """One row per unit: first and last day, record counts, other spellings of its id.
+def unit_master(cleaned: DataFrame) -> DataFrame:
+    """One row per unit: first and last day, record counts, how many other spellings its id has.
 
-    Spellings are listed inline for keys with up to `max_inline_variants` of them; for larger keys the
-    flag is set and `variant_members` holds the full list.
+    `variant_members` lists the spellings, one row each.
     """
     units = dated(cleaned).groupBy(*UNIT_KEY).agg(
         F.min(DATE).alias("first_seen_date"), F.max(DATE).alias("last_seen_date"),
         F.count(DATE).alias("n_records"), F.count(AMOUNT).alias("n_valid_liter_records"))
-    units = units.withColumn("match_key", match_key(F.col(UNIT)))
-    members = variant_members(cleaned)
-    listed = (members.where(F.col("n_spellings") <= cfg.max_inline_variants)
-              .groupBy(CATEGORY, "match_key").agg(F.array_sort(F.collect_set(UNIT)).alias("spellings")))
-    flagged = members.select(*UNIT_KEY, F.lit(True).alias("has_possible_variant"))
-    others = F.coalesce(F.array_remove(F.col("spellings"), F.col(UNIT)), F.array().cast("array<string>"))
-    return (units.join(flagged, UNIT_KEY, "left").join(listed, [CATEGORY, "match_key"], "left")
-            .select(*UNIT_KEY, "first_seen_date", "last_seen_date", "n_records", "n_valid_liter_records",
-                    others.alias("id_variants"),
-                    F.coalesce("has_possible_variant", F.lit(False)).alias("has_possible_variant"),
+    others = variant_members(cleaned).select(*UNIT_KEY, (F.col("n_spellings") - 1).alias("n_variants"))
+    return (units.join(others, UNIT_KEY, "left").withColumn("n_variants", F.coalesce("n_variants", F.lit(0)))
+            .select(*UNIT_KEY, "first_seen_date", "last_seen_date", "n_records", "n_valid_liter_records", "n_variants",
+                    (F.col("n_variants") > 0).alias("has_possible_variant"),
                     (F.month("first_seen_date") > 1).alias("is_new_after_january")))
 
 

@@ -50,12 +50,11 @@ def category_stats(rows: DataFrame) -> DataFrame:
 
 
 def month_category_pivot(rows: DataFrame, categories: Sequence[str]) -> DataFrame:
-    """Month x category totals with 0 for none and a TOTAL column."""
-    wide = (rows.groupBy(F.date_format(DATE, "yyyy-MM").alias("period_label"))
-            .pivot(CATEGORY, list(categories)).agg(F.sum(AMOUNT)).fillna(0.0))
-    whole = sum((F.col(f"`{c}`") for c in categories), F.lit(0.0))
-    return wide.select("period_label", *[F.bround(F.col(f"`{c}`"), 0).alias(c) for c in categories],
-                       F.bround(whole, 0).alias("TOTAL"))
+    """Month x category totals with 0 for none; TOTAL is the month over all categories, listed or not."""
+    parts = [F.bround(F.coalesce(F.sum(F.when(F.col(CATEGORY) == c, F.col(AMOUNT))), F.lit(0.0)), 0).alias(c)
+             for c in categories]
+    whole = F.bround(F.coalesce(F.sum(AMOUNT), F.lit(0.0)), 0).alias("TOTAL")
+    return rows.groupBy(F.date_format(DATE, "yyyy-MM").alias("period_label")).agg(*parts, whole)
 
 
 def combined_share(stats: DataFrame, categories: Sequence[str]) -> DataFrame:

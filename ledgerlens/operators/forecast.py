@@ -207,16 +207,18 @@ def climatology(series: DataFrame, targets: DataFrame, cfg: LedgerConfig = DEFAU
 def forecast_for_dates(series: DataFrame, targets: DataFrame, model: str, cfg: LedgerConfig = DEFAULT) -> DataFrame:
     """Forecast of (series_key, target_date): the actual value, a recursive forecast or climatology.
 
+    `n_reference_points` counts the past days that climatology draws on.
+
     warning: "in_history", "no_value", "long_horizon" or "beyond_reliable_horizon", else missing.
     """
     ends = series.groupBy(KEY).agg(F.max(DATE).alias("last_date"))
     placed = targets.join(ends, KEY).withColumn("horizon_days", F.datediff("target_date", "last_date"))
     ahead = F.col("horizon_days")
-    nothing = F.lit(None).cast("double")
+    nothing, unused = F.lit(None).cast("double"), F.lit(None).cast("long")
     past = (placed.where(ahead <= 0)
             .join(series.withColumnRenamed(DATE, "target_date"), [KEY, "target_date"], "left")
             .select(KEY, "target_date", F.lit("historical_actual").alias("method"), F.col("y").alias("point"),
-                    nothing.alias("lower"), nothing.alias("upper"), "horizon_days",
+                    nothing.alias("lower"), nothing.alias("upper"), "horizon_days", unused.alias("n_reference_points"),
                     F.when(F.col("y").isNull(), "no_value").otherwise("in_history").alias("warning")))
     path = forecast_path(series, cfg.reliable_horizon, model, cfg).withColumnRenamed(DATE, "target_date")
     spread = residual_quantiles(one_step_forecasts(series, model, cfg))
@@ -225,11 +227,13 @@ def forecast_for_dates(series: DataFrame, targets: DataFrame, model: str, cfg: L
             .select(KEY, "target_date", F.lit("recursive_forecast").alias("method"),
                     F.col("forecast").alias("point"), (F.col("forecast") + F.col("low_residual")).alias("lower"),
                     (F.col("forecast") + F.col("high_residual")).alias("upper"), "horizon_days",
+                    unused.alias("n_reference_points"),
                     F.when(ahead > cfg.warn_horizon, "long_horizon").alias("warning")))
     far = climatology(series, placed.where(ahead > cfg.reliable_horizon), cfg).select(
         KEY, "target_date", F.lit("climatology_fallback").alias("method"), "point", "lower", "upper",
-        "horizon_days", F.lit("beyond_reliable_horizon").alias("warning"))
-    return reduce(DataFrame.unionByName, [past, near, far])
+        "horizon_days", F.col("n_reference_points").cast("long").alias("n_reference_points"),
+        F.lit("beyond_reliable_horizon").alias("warning"))
+    return reduce(DataFrame.unionByName, [past, near, far]).withColumn("model_name", F.lit(model))
 
 
 def cross_year_validation(series: DataFrame, cutoff: str, model: str, cfg: LedgerConfig = DEFAULT) -> DataFrame:

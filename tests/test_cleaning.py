@@ -43,8 +43,8 @@ def test_unit_master_variants(ledger):
     rows = [("2025-01-01", "A", "FRK 05 A", 1), ("2025-02-01", "A", "FRK 05A", 1), ("2025-02-01", "A", "OTHER", 1),
             ("2025-01-03", "A", "FRK 05 A", 1)]
     got = {r.equipment_id: r for r in cleaning.unit_master(cleaning.clean(ledger(rows))).collect()}
-    assert got["FRK 05 A"].id_variants == ["FRK 05A"] and got["FRK 05 A"].n_records == 2
-    assert got["OTHER"].id_variants == [] and not got["OTHER"].has_possible_variant
+    assert got["FRK 05 A"].n_variants == 1 and got["FRK 05 A"].n_records == 2
+    assert got["OTHER"].n_variants == 0 and not got["OTHER"].has_possible_variant
     assert got["FRK 05A"].is_new_after_january and not got["FRK 05 A"].is_new_after_january
 
 
@@ -123,3 +123,18 @@ def test_a_key_with_most_rows_stays_whole(ledger):
         (f"2025-01-{1 + i % 28:02d}", "A", f"u{i}", i % 7) for i in range(300)]
     counts = {r.data_status: r["count"] for r in cleaning.clean(ledger(rows)).groupBy("data_status").count().collect()}
     assert counts == {"DUPLICATE": 600, "VALID": 300}
+
+
+def test_missing_units_and_categories_are_keys_like_others(ledger):
+    rows = [("2025-03-01", "C", None, 1), ("2025-03-01", "C", None, 2), ("2025-03-01", None, "U", 3),
+            ("2025-03-01", None, "U", 4), ("2025-03-01", None, None, 5), ("2025-03-02", "C", None, 6)]
+    got = {r.fuel_liter: r.data_status for r in cleaning.clean(ledger(rows)).collect()}
+    assert [got[float(n)] for n in range(1, 7)] == ["DUPLICATE"] * 4 + ["VALID"] * 2
+
+
+def test_total_counts_categories_that_are_not_listed(ledger):
+    from ledgerlens.operators import explore
+
+    rows = cleaning.clean(ledger([("2025-03-01", "A", "u", 1), ("2025-03-02", "B", "v", 10), ("2025-04-02", "B", "v", 7)]))
+    got = {r.period_label: (r.A, r.TOTAL) for r in explore.month_category_pivot(rows, ["A"]).collect()}
+    assert got == {"2025-03": (1.0, 11.0), "2025-04": (0.0, 7.0)}

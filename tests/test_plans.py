@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import cleaning, explore, features, segments
+from ledgerlens.operators import cleaning, explore, features
 from ledgerlens.scratch import cut
 from workload import bindings
 from workload.oracle import ORACLE
@@ -65,12 +65,3 @@ def test_query_equals_sql(spark, name):
     want = [tuple(map(normal, r)) for r in result.fetchall()]
     got = [tuple(map(normal, r)) for r in rows.select(*columns).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
-
-
-def test_large_categories_use_linear_silhouettes(spark):
-    from ledgerlens.config import LedgerConfig
-    rows = spark.range(12).select(F.lit("c").alias("equipment_category"), F.col("id").cast("string").alias("equipment_id"),
-                                  F.array(*[(F.col("id") * (i + 1)).cast("double") for i in range(9)]).alias("x"),
-                                  F.lit(2).alias("k"), (F.col("id") > 5).cast("int").alias("cluster"))
-    assert segments.silhouettes(rows, LedgerConfig(exact_silhouette_units=5)).first().metric == "squared_euclidean"
-    assert segments.silhouettes(rows).first().metric == "euclidean"

@@ -195,10 +195,7 @@ cte("keyed", "mixed_dated", f"""SELECT *, upper(regexp_replace(equipment_id, '[^
     FROM (SELECT DISTINCT {K} FROM mixed_dated)""")
 oracle("c8_unit_master", "mixed_dated keyed", f"""SELECT u.equipment_category, u.equipment_id, first_seen_date,
       last_seen_date, n_records, n_valid_liter_records,
-      coalesce((SELECT string_agg(k.equipment_id, '|' ORDER BY k.equipment_id) FROM keyed k
-        WHERE k.equipment_category = u.equipment_category AND k.match_key = u.match_key
-          AND k.equipment_id <> u.equipment_id), '') AS id_variants,
-      n_spellings > 1 AS has_possible_variant, month(first_seen_date) > 1 AS is_new_after_january
+      n_spellings - 1 AS n_variants, n_spellings > 1 AS has_possible_variant, month(first_seen_date) > 1 AS is_new_after_january
     FROM (SELECT *, count(*) OVER (PARTITION BY equipment_category, match_key) AS n_spellings FROM keyed) u
     JOIN (SELECT {K}, min(date) AS first_seen_date, max(date) AS last_seen_date, count(date) AS n_records,
             count(fuel_liter) AS n_valid_liter_records FROM mixed_dated GROUP BY ALL) r
@@ -629,9 +626,9 @@ cte("quad", "units", f"""SELECT *, CAST((mean_daily_fuel >= mid_mean)::INTEGER *
 SQUARE = " + ".join(f"(p.z_{c} - q.z_{c}) ^ 2" for c in PROFILE.split())
 
 
-def silhouette(distance: str, metric: str) -> str:
+def silhouette(distance: str) -> str:
     return f"""SELECT equipment_category, 4 AS k, avg(CASE WHEN n > 1 THEN coalesce((o - i) / nullif(greatest(o, i), 0), 0)
-        ELSE 0 END) AS silhouette, '{metric}' AS metric
+        ELSE 0 END) AS silhouette
       FROM (SELECT equipment_category, equipment_id, max(n) FILTER (own) AS n,
           max(total / greatest(n - 1, 1)) FILTER (own) AS i, min(total / n) FILTER (NOT own) AS o
         FROM (SELECT p.equipment_category, p.equipment_id, p.cluster_id = q.cluster_id AS own, q.cluster_id,
@@ -640,8 +637,8 @@ def silhouette(distance: str, metric: str) -> str:
 
 
 cte("labelled", "z quad", f"SELECT z.*, cluster_id FROM z JOIN quad USING ({K})")
-oracle("g5_silhouette", "labelled", silhouette(f"sqrt({SQUARE})", "euclidean"), "silhouette")
-oracle("g5_squared_silhouette", "labelled", silhouette(SQUARE, "squared_euclidean"), "silhouette")
+oracle("g5_silhouette", "labelled", silhouette(SQUARE), "silhouette")
+oracle("g5_squared_silhouette", "labelled", silhouette(SQUARE), "silhouette")
 
 
 def label(single: str) -> str:
@@ -776,7 +773,8 @@ oracle("f11_forecast_for_dates", "flags targets ends far", f"""
         CASE WHEN ahead <= 0 THEN s.y WHEN ahead <= 180 THEN p.forecast ELSE far.point END AS point,
         CASE WHEN ahead <= 0 THEN NULL WHEN ahead <= 180 THEN p.forecast + low ELSE far.lower END AS lower,
         CASE WHEN ahead <= 0 THEN NULL WHEN ahead <= 180 THEN p.forecast + high ELSE far.upper END AS upper,
-        ahead AS horizon_days
+        ahead AS horizon_days, CASE WHEN ahead > 180 THEN n_reference_points END AS n_reference_points,
+        'seasonal_naive_7' AS model_name
       FROM (SELECT t.*, CAST(target_date - last_date AS INTEGER) AS ahead FROM targets t JOIN ends USING (series_key)) t
       LEFT JOIN flags s ON s.series_key = t.series_key AND s.date = t.target_date
       LEFT JOIN ({tail_path('seasonal_naive_7', 180)}) p ON p.series_key = t.series_key AND p.date = t.target_date
@@ -929,9 +927,9 @@ cte("cat_stats", "lines_dated", """SELECT *, round_even(total_liter / sum(total_
       sum(fuel_liter) AS total_liter, count(DISTINCT equipment_id) AS n_equipment, count(fuel_liter) AS n_transaksi
       FROM lines_dated GROUP BY 1)""")
 oracle("u5_category_stats", "cat_stats", "SELECT * FROM cat_stats", "total_liter share_pct rata_rata_per_equipment")
-_flag = ", ".join(f"round_even(coalesce(sum(fuel_liter) FILTER (equipment_category = '{f}'), 0), 0) AS {f}" for f in "ANR")
+_flag = ", ".join(f"round_even(coalesce(sum(fuel_liter) FILTER (equipment_category = '{f}'), 0), 0) AS {f}" for f in "AN")
 oracle("u6_month_category_pivot", "lines_dated", f"""SELECT strftime(date, '%Y-%m') AS period_label, {_flag},
-    round_even(sum(fuel_liter), 0) AS TOTAL FROM lines_dated GROUP BY 1""", "A N R TOTAL")
+    round_even(sum(fuel_liter), 0) AS TOTAL FROM lines_dated GROUP BY 1""", "A N TOTAL")
 oracle("u7_combined_share", "cat_stats", """SELECT sum(share_pct) AS combined_share_pct FROM cat_stats
     WHERE equipment_category IN ('A', 'N')""", "combined_share_pct")
 oracle("u8_top_units", "lines_dated", f"""SELECT {K}, sum(fuel_liter) AS fuel_liter,

@@ -13,7 +13,7 @@ from ledgerlens.operators import (anomaly, changepoint, cleaning, explore, featu
                                   learned, monitoring, quality, recommend, reconcile, scenarios, segments)
 from ledgerlens.plans import full_run
 from ledgerlens.schema import AMOUNT, CATEGORY, DATE, FORECAST_COLUMNS, UNIT, UNIT_KEY
-from ledgerlens.scratch import cut, new_path
+from ledgerlens.scratch import cut, new_path, stored
 from ledgerlens.sources import grid, ledger, vendor
 from ledgerlens.streaming import ingest
 from workload import bindings as b
@@ -40,7 +40,7 @@ def clean_lines(spark, d):
 
 def kept_lines(spark, d):
     """The cleaned lines ledger written once, for queries that read it more than once."""
-    return cut(clean_lines(spark, d))
+    return stored(clean_lines(spark, d))
 
 
 def clean_mixed(spark, d):
@@ -52,8 +52,8 @@ def flag_series(spark, d):
     return forecast.daily_series(clean_lines(spark, d), F.col(CATEGORY))
 
 
-def lines_report(spark, d):
-    return anomaly.anomaly_report(kept_lines(spark, d), use_forest=False)
+def lines_report(spark, d, cleaned=None):
+    return anomaly.anomaly_report(kept_lines(spark, d) if cleaned is None else cleaned, use_forest=False)
 
 
 def lines_changes(spark, d, cleaned=None):
@@ -65,13 +65,14 @@ def lines_by_category(spark, d, cleaned=None):
                                              b.line_totals(spark, d), labels=b.LINE_LABELS)
 
 
-def lines_health(spark, d):
-    cleaned = kept_lines(spark, d)
+def lines_health(spark, d, cleaned=None, by_category=None):
+    cleaned = kept_lines(spark, d) if cleaned is None else cleaned
+    by_category = lines_by_category(spark, d, cleaned) if by_category is None else by_category
     wape = monitoring.overall_metrics(monitoring.forecast_errors(
         monitoring.placeholder_forecast(forecast.daily_series(cleaned)))).select("wape").scalar()
     return health.health_scores(cleaned, anomaly.anomaly_report(cleaned, use_forest=False),
                                 lines_changes(spark, d, cleaned), quality.longest_gaps(cleaned),
-                                lines_by_category(spark, d, cleaned), wape)
+                                by_category, wape)
 
 
 # --- sources -------------------------------------------------------------------------------------
@@ -225,7 +226,7 @@ def c7_cleaned_lines(spark, d):
 
 @query
 def c8_unit_master(spark, d):
-    return cleaning.unit_master(clean_mixed(spark, d)).withColumn("id_variants", F.array_join("id_variants", "|"))
+    return cleaning.unit_master(clean_mixed(spark, d))
 
 
 @query
@@ -546,7 +547,7 @@ def g5_silhouette(spark, d):
 @query
 def g5_squared_silhouette(spark, d):
     units = quadrants(segments.standardise(segments.complete_units(line_profiles(spark, d))))
-    return shown(segments.squared_silhouettes(units.select(*UNIT_KEY, "x", F.lit(4).alias("k"),
+    return shown(segments.silhouettes(units.select(*UNIT_KEY, "x", F.lit(4).alias("k"),
                                                            F.col("cluster_id").alias("cluster"))))
 
 
@@ -730,8 +731,8 @@ def f20_available_years(spark, d):
 
 # --- scenarios and recommendations ---------------------------------------------------------------
 
-def fleet_scenarios(spark, d):
-    return scenarios.saving_scenarios(scenarios.baselines(clean_lines(spark, d)))
+def fleet_scenarios(spark, d, cleaned=None):
+    return scenarios.saving_scenarios(scenarios.baselines(clean_lines(spark, d) if cleaned is None else cleaned))
 
 
 @query
@@ -773,8 +774,10 @@ def n5_unreconciled(spark, d):
 
 
 def line_advice(spark, d):
-    return recommend.recommendations(lines_health(spark, d), lines_by_category(spark, d), AS_OF,
-                                     fleet_scenarios(spark, d))
+    cleaned = kept_lines(spark, d)
+    by_category = stored(lines_by_category(spark, d, cleaned))
+    return recommend.recommendations(lines_health(spark, d, cleaned, by_category), by_category, AS_OF,
+                                     fleet_scenarios(spark, d, cleaned))
 
 
 @query
@@ -831,7 +834,7 @@ def u5_category_stats(spark, d):
 
 @query
 def u6_month_category_pivot(spark, d):
-    return shown(explore.month_category_pivot(dated_lines(spark, d), ["A", "N", "R"]))
+    return shown(explore.month_category_pivot(dated_lines(spark, d), ["A", "N"]))
 
 
 @query
@@ -852,7 +855,8 @@ def u9_trailing_sums(spark, d):
 
 @query
 def u10_overview_kpis(spark, d):
-    return explore.overview_kpis(lines_report(spark, d), lines_health(spark, d))
+    cleaned = kept_lines(spark, d)
+    return explore.overview_kpis(lines_report(spark, d, cleaned), lines_health(spark, d, cleaned))
 
 
 @query
