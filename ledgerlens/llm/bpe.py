@@ -1,11 +1,11 @@
 """Byte-level BPE: encoding by longest matches and backtracking, and decoding.
 
-Bytes are mapped to Latin-1, so that an Aho-Corasick automaton over strings finds every token that starts at every
-byte of a piece in one pass. A row of tokens is what the merges would give exactly if each two neighbours are
-compatible, that is, if the merges turn the bytes of the two into these two tokens and nothing else: no merge then ever
-crosses a border. So a piece is encoded from the left by the longest match that is compatible with the token before it;
-where none is, the last token is given back for its next shorter match, and a position once given up is not tried again.
-Compatibility of two tokens is memoised, as are pieces and words that were met before, in memory of a fixed bound.
+Bytes are mapped to Latin-1, so that an automaton over strings gives the longest match that can start at a byte. A row
+of tokens is what the merges would give exactly if each two neighbours are compatible, that is, if the merges turn the
+bytes of the two into these two tokens and nothing else: no merge then ever crosses a border. So a piece is encoded from
+the left by the longest match that is compatible with the token before it; where none is, the last token is given back for
+its next shorter match, and a position once given up is not tried again. Compatibility of two tokens is memoised, as are
+pieces and words that were met before, in memory of a fixed bound.
 
 Text is cut into pieces by the published pattern; each piece is encoded apart.
 
@@ -17,8 +17,8 @@ which replace them.
 from __future__ import annotations
 
 import base64
-import re
-from itertools import chain
+import hashlib
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -27,13 +27,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batch, file_bytes, slices, texts_of
+from .common import Memo, WordTable, batch, file_bytes, kept, slices, text_slices
 
-SLICE = 2_000_000
+SLICE = 1_000_000
 # Bounds of the memos of a worker: words, pieces, neighbours.
-WORDS, PIECES, PAIRS = 400_000, 100_000, 400_000
-# Between these, cutting a text at single spaces would move the borders of pieces.
-RUNS = re.compile(r"\s \s")
+WORDS, PIECES, PAIRS = 400_000, 50_000, 200_000
 
 
 def read_ranks(content: bytes) -> list[bytes]:
@@ -48,14 +46,20 @@ class Codec:
     def __init__(self, content: bytes, pattern: str):
         self.tokens = read_ranks(content)
         self.ids = {t: i for i, t in enumerate(self.tokens)}
+        self.latin = {t.decode("latin-1"): i for t, i in self.ids.items()}
+        self.longest = max(map(len, self.tokens))
         self.find = regex.compile(pattern).findall
-        self.automaton = ahocorasick.Automaton()
-        for i, token in enumerate(self.tokens):
-            self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
-        self.automaton.make_automaton()
         self.compatible = Memo(self._compatible, PAIRS)
         self.pieces = Memo(self._piece, PIECES)
-        self.words = Memo(self._word, WORDS)
+        self.encode_all = WordTable(lambda words: {w: self._word(w) for w in words}, self._text, WORDS).encode
+
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        """Built when first needed; decoding needs none."""
+        automaton = ahocorasick.Automaton()
+        for i, token in enumerate(self.tokens):
+            automaton.add_word(token.decode("latin-1"), i)
+        return automaton
 
     def merge(self, data: bytes) -> list[int]:
         """The merges themselves, for the few bytes of two tokens: again and again the leftmost pair of lowest rank."""
@@ -67,36 +71,33 @@ class Codec:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return [self.ids[p] for p in parts]
 
-    def _compatible(self, pair: tuple[int, int]) -> bool:
-        return self.merge(self.tokens[pair[0]] + self.tokens[pair[1]]) == [*pair]
+    def _compatible(self, pair: int) -> bool:
+        """Of two neighbours, the left one in the upper bits."""
+        left, right = pair >> 24, pair & 0xFFFFFF
+        return self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
 
     def encode_piece(self, data: bytes) -> list[int]:
         if (whole := self.ids.get(data)) is not None:
             return [whole]
-        # All tokens that start at each byte; ends ascend, so the longest comes last.
-        starts: list[list[tuple[int, int]]] = [[] for _ in data]
-        for end, match in self.automaton.iter(data.decode("latin-1")):
-            starts[end + 1 - match[1]].append(match)
-        given_up = bytearray(len(data) + 1)
-        row: list[tuple[int, int]] = []
-        at, choice, before = 0, len(starts[0]) - 1, -1
-        tried: list[int] = []
-        while at < len(data):
-            while choice >= 0:
-                token, size = starts[at][choice]
-                if not given_up[at + size] and (before < 0 or self.compatible[before, token]):
+        text, given_up, row = data.decode("latin-1"), set(), []
+        known, compatible, reach, end = self.latin.get, self.compatible, self.automaton.longest_prefix, len(data)
+        at, before, size = 0, -1, reach(text[:self.longest])
+        while at < end:
+            while size:
+                token = known(text[at:at + size])
+                if token is not None and at + size not in given_up and (before < 0 or compatible[before << 24 | token]):
                     break
-                choice -= 1
-            if choice >= 0:
+                size -= 1
+            if size:
                 row.append((token, size))
-                tried.append(choice)
                 at, before = at + size, token
-                choice = len(starts[at]) - 1 if at < len(data) else -1
-            else:
-                given_up[at] = 1
-                token, size = row.pop()
-                choice = tried.pop() - 1
+                if at < end:
+                    size = reach(text[at:at + self.longest])
+            else:  # back to the next shorter match of the token before
+                given_up.add(at)
+                _, size = row.pop()
                 at -= size
+                size -= 1
                 before = row[-1][0] if row else -1
         return [token for token, _ in row]
 
@@ -104,34 +105,27 @@ class Codec:
         return np.array(self.encode_piece(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
+        if word[0] == " ":  # letters, or letters and a sign, as most words are
+            if word[1:].isalpha():
+                return self._piece(word)
+            if word[-1] in ",.;:!?" and word[1:-1].isalpha():
+                return self.pieces[word[:-1]] + self.pieces[word[-1]]
         pieces = self.find(word)
         return self._piece(word) if len(pieces) == 1 else b"".join(map(self.pieces.__getitem__, pieces))
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers.
+    def _text(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
 
-        A border of pieces lies before every space that follows another character than white space, so a text is looked
-        up word by word, each with the space before it.
-        """
-        if RUNS.search(text):
-            return b"".join(map(self.pieces.__getitem__, self.find(text)))
-        first, *rest = text.split(" ")
-        return b"".join(map(self.words.__getitem__, chain([first] if first else [], [" " + x for x in rest])))
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        return self.encode_all([text])[0]
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
-# One codec per worker process and vocabulary.
-_CODECS: dict[tuple[bytes, str], Codec] = {}
-
-
 def codec(content: bytes, pattern: str) -> Codec:
-    key = (content, pattern)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(content, pattern)
-    return _CODECS[key]
+    return kept((content, pattern), lambda: Codec(content, pattern))
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -142,9 +136,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, keep: tuple[str, ...] = ("
     def run(batches):
         own = codec(content.value, pattern)
         for b in batches:
-            texts = texts_of(b.column(b.num_columns - 1))
-            for lo, hi in slices([len(t) for t in texts], SLICE):
-                packed = [own.encode(t) for t in texts[lo:hi]]
+            for lo, hi, texts in text_slices(b.column(b.num_columns - 1), SLICE):
+                packed = own.encode_all(texts)
                 some = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [*some.columns[:-1], pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64())],
@@ -173,25 +166,24 @@ def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
             .mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary"))
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """n_tokens and the hashes of ids and decoded bytes of every document."""
-
-    @F.pandas_udf("string")
-    def decimal_sha256(packed):
-        import hashlib
+HASHED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
+                    ("decoded_sha256", pa.string())])
 
-        names = _decimals()
-        return packed.map(lambda p: hashlib.sha256(
-            ",".join(map(names.__getitem__, np.frombuffer(p, "<u4").tolist())).encode()).hexdigest())
 
-    return decoded.select("doc_id", "n_tokens", decimal_sha256("ids").alias("ids_sha256"),
-                          F.sha2("decoded", 256).alias("decoded_sha256"))
-
-
-def _decimals() -> list[str]:
-    if not _NAMES:
-        _NAMES.extend(map(str, range(1 << 18)))
-    return _NAMES
+def digests(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """Hashes of the decimal ids of every document, and of the bytes that they decode to."""
+    content = file_bytes(encoded.sparkSession, ranks)
 
+    def run(batches):
+        own = codec(content.value, pattern)
+        names = [str(i) for i in range(len(own.tokens))]
+        for b in batches:
+            ids, decoded = [], []
+            for packed in b.column(2).to_pylist():
+                numbers = map(names.__getitem__, np.frombuffer(packed, "<u4").tolist())
+                ids.append(hashlib.sha256(",".join(numbers).encode()).hexdigest())
+                decoded.append(hashlib.sha256(own.decode(packed)).hexdigest())
+            yield batch(HASHED, b.column(0), b.column(1), ids, decoded)
 
-_NAMES: list[str] = []
+    return (encoded.select(F.col("doc_id").cast("long"), "n_tokens", "ids")
+            .mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))

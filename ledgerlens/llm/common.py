@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.scratch import shared_dir
@@ -51,6 +53,12 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def text_slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int, list[str]]]:
+    """Ranges of rows of at most `limit` bytes of text, with their texts; only these are made at a time."""
+    for lo, hi in slices([n or 0 for n in pc.binary_length(column).to_pylist()], limit):
+        yield lo, hi, texts_of(column.slice(lo, hi - lo))
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)],
@@ -85,6 +93,55 @@ class Memo(dict):
         self[key] = value
 
 
+# Between these, cutting a text at single spaces would move the borders of pieces.
+RUNS = re.compile(r"\s \s")
+
+
+class WordTable:
+    """Encodes texts by words that were met before, each with the space before it.
+
+    A border of pieces lies before every single space that follows another character than white space, so a word has the
+    ids that it has in the whole text. `learn` encodes new words, `whole` a text in which spaces stand side by side. The
+    table is started anew when it has grown beyond `limit`.
+    """
+
+    def __init__(self, learn, whole, limit: int):
+        self.learn, self.whole, self.limit = learn, whole, limit
+        self.words: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        apart = [RUNS.search(t) is not None for t in texts]
+        words, ends = [], []
+        for text, alone in zip(texts, apart):
+            if text and not alone:
+                first, *rest = text.split(" ")
+                if first:
+                    words.append(first)
+                words += [" " + x for x in rest]
+            ends.append(len(words))
+        packed = [*map(self.words.get, words)]
+        new = [i for i, p in enumerate(packed) if p is None]
+        if new:
+            if len(self.words) > self.limit:
+                self.words.clear()
+            self.words.update(self.learn([*dict.fromkeys(words[i] for i in new)]))
+            for i in new:
+                packed[i] = self.words[words[i]]
+        return [self.whole(t) if alone else b"".join(packed[a:b])
+                for t, alone, a, b in zip(texts, apart, [0, *ends], ends)]
+
+
+_KEPT: dict = {}
+
+
+def kept(key, build):
+    """One large helper per worker process: kept from task to task, given up when another one is asked for."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
 def file_bytes(spark: SparkSession, path: str):
     """A tokenizer's file, read on the driver and broadcast; its size is checked, as it is a fixed small file."""
     with open(path, "rb") as f:

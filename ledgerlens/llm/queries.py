@@ -27,7 +27,7 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(encoded, ranks, public_tokenizers.PATTERN))
+    return bpe.digests(encoded, ranks, public_tokenizers.PATTERN)
 
 
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

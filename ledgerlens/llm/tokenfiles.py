@@ -13,9 +13,7 @@ null doc_id comes first; an empty table gives a folder of no rows; other columns
 
 from __future__ import annotations
 
-import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +22,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import batch, file_bytes, partitions, slices, stored, texts_of
+from .common import WordTable, batch, file_bytes, kept, partitions, slices, stored, texts_of
 
 SEGMENT = 1 << 20
 WORDS = 900_000
 SLICE = 2_000_000
-# Between these, cutting a text at single spaces would move the borders of pieces.
-RUNS = re.compile(r"\s \s")
 
 
 class EliasFano:
@@ -73,11 +69,7 @@ class EliasFano:
 
 
 class Encoder:
-    """The library's encoder; words that were met before are looked up, each with the space before it.
-
-    Pieces never reach from another character across the space after it, so words have the ids that they have in the
-    whole text, and the new words of many texts are encoded in one call, as one text of words.
-    """
+    """The library's encoder; words that were met before are looked up, new ones of many texts are encoded in one call."""
 
     def __init__(self, content: bytes):
         self.tokenizer = Tokenizer.from_buffer(content)
@@ -87,53 +79,24 @@ class Encoder:
         # A byte is one character of a token's name.
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.sizes[[*vocabulary.values()]] = [len(t) for t in vocabulary]
-        self.words: dict[str, bytes] = {}
+        self.encode = WordTable(self.learn, self.ids, WORDS).encode
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Encode new words: all in one call, but those that begin or end with white space of their own."""
-        if len(self.words) > WORDS:
-            self.words.clear()
-        new = [w for w in dict.fromkeys(words) if w[1:2].strip() and w[-1].strip() and w[0] == " "]
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(new)], add_special_tokens=False)[0].ids, self.kind)
-        ends = np.cumsum([len(w.encode("utf-8", "surrogatepass")) for w in new])
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of new words: all in one call, but those that begin or end with white space of their own."""
+        plain = [w for w in words if w[1:2].strip() and w[-1].strip() and w[0] == " "]
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(plain)], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.cumsum([len(w.encode("utf-8", "surrogatepass")) for w in plain])
         cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
         packed, cuts = ids.tobytes(), (cuts * self.width).tolist()
-        self.words.update((w, packed[a:b]) for w, a, b in zip(new, [0, *cuts], cuts))
-        for word in words:
-            if word not in self.words:
-                self.words[word] = self.ids(word)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [RUNS.search(t) is not None for t in texts]
-        words, ends = [], []
-        for text, apart in zip(texts, whole):
-            if text and not apart:
-                first, *rest = text.split(" ")
-                if first:
-                    words.append(first)
-                words += [" " + x for x in rest]
-            ends.append(len(words))
-        packed = [*map(self.words.get, words)]
-        new = [i for i, p in enumerate(packed) if p is None]
-        if new:
-            self.learn([words[i] for i in new])
-            for i in new:
-                packed[i] = self.words[words[i]]
-        return [self.ids(t) if apart else b"".join(packed[a:b])
-                for t, apart, a, b in zip(texts, whole, [0, *ends], ends)]
-
-
-_ENCODERS: dict[bytes, Encoder] = {}
+        known = {w: packed[a:b] for w, a, b in zip(plain, [0, *cuts], cuts)}
+        return known | {w: self.ids(w) for w in words if w not in known}
 
 
 def encoder(content: bytes) -> Encoder:
-    if content not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[content] = Encoder(content)
-    return _ENCODERS[content]
+    return kept(("files", content), lambda: Encoder(content))
 
 
 SEGMENTS = pa.schema([
