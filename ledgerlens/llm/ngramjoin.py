@@ -31,11 +31,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batch, mix64, partitions, slices, stored, texts_of
+from .common import Memo, batch, kept, mix64, partitions, slices, stored, texts_of
 from .graph import components
 
-SLICE = 3_000_000
-WORDS = 300_000
+SLICE = 2_000_000
+WORDS = 200_000
 ROUNDS = 2
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -78,7 +78,7 @@ MEMBERS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp",
 def members(docs: DataFrame, words: int) -> DataFrame:
     """The size and the hash of every document's set; no hash where the set is empty."""
     def run(batches):
-        own = Shingler(words)
+        own = kept(("shingles", words), lambda: Shingler(words))
         for b in batches:
             texts = texts_of(b.column(1))
             for lo, hi in slices([len(t) for t in texts], SLICE):
@@ -104,7 +104,7 @@ def shared_shingles(docs: DataFrame, words: int, similarity: int) -> DataFrame:
     parts = partitions(docs.sparkSession)
 
     def emit(batches):
-        own = Shingler(words)
+        own = kept(("shingles", words), lambda: Shingler(words))
         for b in batches:
             texts = texts_of(b.column(0))
             for lo, hi in slices([len(t) + 64 for t in texts], SLICE):

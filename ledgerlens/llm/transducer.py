@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batch, file_bytes, slices, texts_of
+from .common import Memo, batch, file_bytes, kept, slices, texts_of
 
 SLICE = 1_000_000
 CHUNK = 512
@@ -213,14 +213,8 @@ class Counter:
         return out
 
 
-_COUNTERS: dict[bytes, Counter] = {}
-
-
 def counter(content: bytes) -> Counter:
-    if content not in _COUNTERS:
-        _COUNTERS.clear()
-        _COUNTERS[content] = Counter(content)
-    return _COUNTERS[content]
+    return kept(("counts", content), lambda: Counter(content))
 
 
 COUNTED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
