@@ -1,50 +1,79 @@
 """Exact ranks and quantiles within groups that may hold most of the rows.
 
 A sort of one group, or one map of all its values, would land in a single task. Instead equal values
-are counted first (spread over group and value), the counts are summed per value band, and only the
-bands, which are few, are accumulated per group. Inside a band the remaining order is local. The band
-is a fixed rising function of the value, so nothing depends on sampling or on a second evaluation.
+are counted first (spread over group and value). Then the counts are summed by prefixes of the value's
+ordered bits and accumulated level by level: the prefixes of one level below one prefix of the level
+above, at most 2^18 rows a window whatever the data. The doubles of a full prefix, at most 4,096, are
+ordered last. Quantiles follow only the prefixes that hold a wanted rank. The prefix is a fixed rising
+function of the value, so nothing depends on sampling or on a second evaluation.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def _band(value: Column) -> Column:
-    """Bands 0.1 % wide in relative terms, in the order of the values."""
-    size = F.floor(F.least(F.log1p(F.abs(value)) * 1000, F.lit(1e9)))
-    return (F.signum(value) * size).cast("long")
+# Bits of the key below the three prefixes. A prefix has at most 2^18 followers; the doubles that share the
+# whole key differ in their last 12 bits only.
+SHIFTS = {"_p1": 36, "_p2": 18, "_p3": 0}
 
 
-def _counted(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    present = df.where(F.col(value).isNotNull() & ~F.isnan(value))
-    return (present.groupBy(*keys, F.col(value)).agg(F.count(F.lit(1)).alias("_ties"))
-            .withColumn("_band", _band(F.col(value))))
-
-
-def _bands(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    in_group = Window.partitionBy(*keys)
-    before = in_group.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
-    return (counted.groupBy(*keys, "_band").agg(F.sum("_ties").alias("_held"))
-            .withColumn("_base", F.coalesce(F.sum("_held").over(before), F.lit(0)))
-            .withColumn("_n", F.sum("_held").over(in_group)))
+def _key(value: Column) -> Column:
+    """A long that rises with the value: sign, exponent and the first 40 bits of the fraction."""
+    size = F.abs(value)
+    guess = F.floor(F.log2(size))
+    near = size / F.pow(F.lit(2.0), guess)
+    exponent = guess + F.when(near >= 2, 1).when(near < 1, -1).otherwise(0)
+    fraction = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * float(1 << 40))
+    key = (exponent + 1075) * F.lit(1 << 40) + fraction
+    key = F.when(size == 0, F.lit(0)).when(size == float("inf"), F.lit(1 << 52)).otherwise(key)
+    return F.when(value < 0, -key).otherwise(key).cast("long")
 
 
-def _placed(counted: DataFrame, bands: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    in_band = Window.partitionBy(*keys, "_band").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return (counted.join(bands, [*keys, "_band"])
-            .withColumn("_before", F.col("_base") + F.coalesce(F.sum("_ties").over(in_band), F.lit(0))))
+def _counted(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    present = df.where(F.col(value).isNotNull() & ~F.isnan(value))
+    counted = (present.groupBy(*keys, F.col(value)).agg(F.count(F.lit(1)).alias("_ties"))
+               .withColumn("_key", _key(F.col(value).cast("double"))))
+    return counted.withColumns({name: F.shiftright("_key", bits) for name, bits in SHIFTS.items()}).drop("_key")
+
+
+def _levels(counted: DataFrame, keys: Sequence[str]) -> list[DataFrame]:
+    """Per prefix, from short to long: values below it among those that share the next shorter prefix."""
+    out, rows = [], counted.withColumnRenamed("_ties", "_held")
+    for depth in (3, 2, 1):
+        path = [f"_p{i}" for i in range(1, depth + 1)]
+        before = Window.partitionBy(*keys, *path[:-1]).orderBy(path[-1]).rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.groupBy(*keys, *path).agg(F.sum("_held").alias("_held"))
+        out.insert(0, rows.withColumn("_below", F.coalesce(F.sum("_held").over(before), F.lit(0))))
+    out[0] = out[0].withColumn("_n", F.sum("_held").over(Window.partitionBy(*keys)))
+    return out
+
+
+def _placed(counted: DataFrame, keys: Sequence[str], value: str, hit=None) -> DataFrame:
+    """Distinct values with the number of smaller ones; `hit(base, held, n)` tells which prefixes are followed."""
+    base = None
+    for depth, level in enumerate(_levels(counted, keys), 1):
+        level = level.withColumnRenamed("_held", "_here")
+        if base is not None:
+            level = level.join(base, [*keys, *[f"_p{i}" for i in range(1, depth)]])
+            level = level.withColumn("_below", F.col("_below") + F.col("_base")).drop("_base")
+        if hit is not None:
+            level = level.where(hit(F.col("_below"), F.col("_here"), F.col("_n")))
+        base = level.withColumnRenamed("_below", "_base").drop("_here")
+    leaf = Window.partitionBy(*keys, *SHIFTS).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return (counted.join(base, [*keys, *SHIFTS])
+            .withColumn("_before", F.col("_base") + F.coalesce(F.sum("_ties").over(leaf), F.lit(0))))
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """One row per group and distinct value: smaller values (_before), equal ones (_ties), all (_n)."""
     counted = _counted(df, keys, value)
-    return (_placed(counted, _bands(counted, keys), keys, value)
+    return (_placed(counted, keys, value)
             .select(*keys, value, "_before", "_ties", "_n"))
 
 
@@ -52,13 +81,13 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                     wanted: Mapping[str, float], n: str | None = None) -> DataFrame:
     """Interpolated quantiles per group (name -> probability), and the count of values if `n` is named."""
     counted = _counted(df, keys, value)
-    bands = _bands(counted, keys)
     spots = {name: (F.col("_n") - 1) * F.lit(float(p)) for name, p in wanted.items()}
-    ends = [end for spot in spots.values() for end in (F.floor(spot), F.ceil(spot))]
-    hit = F.lit(False)
-    for end in ends:
-        hit = hit | ((F.col("_base") <= end) & (end < F.col("_base") + F.col("_held")))
-    placed = _placed(counted, bands.where(hit), keys, value)
+
+    def hit(base: Column, held: Column, n: Column) -> Column:
+        ends = [end((n - 1) * F.lit(float(p))) for p in wanted.values() for end in (F.floor, F.ceil)]
+        return reduce(lambda a, b: a | b, [(base <= end) & (end < base + held) for end in ends])
+
+    placed = _placed(counted, keys, value, hit)
 
     def at(end: Column) -> Column:
         here = (F.col("_before") <= end) & (end < F.col("_before") + F.col("_ties"))

@@ -2,8 +2,10 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
-from ledgerlens.functions.ranks import group_quantiles, percent_ranks
+from ledgerlens.functions.ranks import _counted, _key, _levels, group_quantiles, percent_ranks, value_ranks
 from ledgerlens.operators import cleaning, quality
 
 
@@ -58,6 +60,29 @@ def test_group_quantiles_with_a_hot_group(spark):
         assert np.allclose([row.a, row.m, row.z], values.quantile([.1, .5, .97])) and row.n == len(values)
 
 
+def test_quantiles_of_close_and_extreme_values(spark):
+    rng = np.random.default_rng(5)
+    tiny = [5e-324, -5e-324, 1e-310, 2.0 ** -1022, 0.0, 1e308, -1e308, 2.0, np.nextafter(2.0, 0), np.nextafter(2.0, 3)]
+    values = np.r_[rng.uniform(.4, .5, 3000), np.nextafter(.45, 1), rng.uniform(-1e-9, 1e-9, 300), tiny]
+    frame = spark.createDataFrame(pd.DataFrame({"g": "a", "v": values}))
+    wanted = {f"q{i}": p for i, p in enumerate([0, .01, .05, .1, .5, .97, 1])}
+    got = group_quantiles(frame, ["g"], "v", wanted).first()
+    assert [got[name] for name in wanted] == pytest.approx(list(np.quantile(values, list(wanted.values()))), rel=1e-12)
+    placed = value_ranks(frame, ["g"], "v").orderBy("v").toPandas()
+    assert (placed._before.to_numpy() == np.arange(len(np.unique(values)))).all()
+    keys = frame.select("v", _key(F.col("v")).alias("k")).distinct().orderBy("v").toPandas().k.to_numpy()
+    assert (np.diff(keys) >= 0).all()
+
+
+def test_no_window_of_a_million_values_is_large(spark):
+    frame = spark.range(1_000_000).select(F.lit("a").alias("g"), (0.4 + F.col("id") * 1e-7).alias("v"))
+    counted = _counted(frame, ["g"], "v")
+    for depth, level in enumerate(_levels(counted, ["g"])):
+        path = ["g", *[f"_p{i}" for i in range(1, depth + 1)]]
+        assert level.groupBy(*path).count().agg(F.max("count")).first()[0] <= 1 << 18
+    assert counted.groupBy("g", "_p1", "_p2", "_p3").count().agg(F.max("count")).first()[0] <= 4096
+
+
 def test_percent_ranks_with_ties_and_missing(spark):
     frame = pd.DataFrame({"g": list("aaaaabb"), "v": [1.0, 2.0, 2.0, 3.0, None, 7.0, 7.0]})
     got = {(r.g, r.v): r.p for r in percent_ranks(spark.createDataFrame(frame), ["g"], "v", "p").collect()}
