@@ -1,27 +1,30 @@
 """Isolation forest per category (Liu, Ting & Zhou 2008), fitted on bounded samples, scored at scale.
 
 The forest needs only trees x sample rows per category, so the fit reads a hash sample of that size
-(sub-sampling is part of the method). Every row is then scored: the rows of a category are split over
-as many tasks as its size asks for, and each task meets the category's trees by cogrouping.
+(sub-sampling is part of the method). Every row is then scored where it lies, with the forests broadcast,
+as long as their measured bytes allow it. Beyond that the rows of a category are split over as many tasks
+as its size asks for, and each task meets the category's trees by cogrouping; the scores are the same.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.config import DEFAULT, LedgerConfig
 from ledgerlens.functions.ranks import group_quantiles
 from ledgerlens.schema import AMOUNT, CATEGORY, DATE, UNIT
-from ledgerlens.scratch import cut, join_measured, spread
+from ledgerlens.scratch import join_measured, spread, stored
 
 FEATURES = [AMOUNT, "deviation_from_category_median", "day_of_week", "month_num"]
 # Rows scored beside one copy of a category's trees (1.6 MB). Small categories are split further, for
 # parallelism, down to the second figure.
 ROWS_PER_TASK = 200_000
 LEAST_ROWS_PER_TASK = 10_000
+# Forests of all categories together are broadcast up to this size, about 40 categories of 200 trees.
+BROADCAST_BYTES = 64 << 20
 
 # One tree as arrays in heap order: node i has the children 2i + 1 and 2i + 2; a leaf has feature -1.
 FOREST = f"{CATEGORY} string, tree int, sample int, feature array<int>, cut array<double>, size array<int>"
@@ -99,25 +102,43 @@ def fit_forest(rows: DataFrame, sizes: DataFrame, cfg: LedgerConfig = DEFAULT) -
     return spread(sample, CATEGORY).groupBy(CATEGORY).applyInPandas(fit, FOREST)
 
 
-def isolation_scores(features: DataFrame, cfg: LedgerConfig = DEFAULT) -> DataFrame:
-    """Rows with isolation_score (below 0: anomalous), missing where a category is too small.
+def _score(x: np.ndarray, trees: list) -> np.ndarray:
+    """Minus the anomaly score of every row: nearer to -1 the fewer splits part it from the others."""
+    depth = np.zeros(len(x))
+    for feature, place, size, _ in trees:
+        depth += _depths(x, feature, place, size)
+    return -np.power(2.0, -depth / (len(trees) * float(_path_left([trees[0][3]])[0])))
 
-    Only rows of units with enough observations take part. The zero point is set per category so that
-    the share `contamination` of its rows lies below it.
-    """
-    complete = F.col("sufficient")
-    for name in FEATURES:
-        complete = complete & F.col(name).isNotNull()
-    features = cut(features)
-    rows = features.where(complete)
-    sizes = (rows.groupBy(CATEGORY).agg(F.count(F.lit(1)).alias("n_rows"))
-             .where(F.col("n_rows") >= cfg.forest_min_rows))
-    sizes = cut(sizes)
-    forest = cut(fit_forest(rows, sizes, cfg))
+
+def _arrays(trees: pd.DataFrame) -> list:
+    return [(np.asarray(t.feature), np.asarray(t.cut), np.asarray(t.size), t.sample)
+            for t in trees.sort_values("tree")[["feature", "cut", "size", "sample"]].itertuples(index=False)]
+
+
+def _scored_in_place(features: DataFrame, complete: Column, forest: DataFrame) -> DataFrame:
+    """Rows with `_raw`, no shuffle; the forests are of checked size."""
+    trees = forest.toPandas()
+    shared = features.sparkSession.sparkContext.broadcast({name: _arrays(part) for name, part in trees.groupby(CATEGORY)})
+
+    @F.pandas_udf("double")
+    def score(category: pd.Series, ready: pd.Series, values: pd.DataFrame) -> pd.Series:
+        out, x = np.full(len(category), np.nan), values.to_numpy(float)
+        asked = category.where(ready)
+        for name, at in asked.groupby(asked).indices.items():
+            if name in shared.value:
+                out[at] = _score(x[at], shared.value[name])
+        return pd.Series(out)
+
+    raw = score(CATEGORY, F.coalesce(complete, F.lit(False)), F.struct(*FEATURES))
+    return features.withColumn("_raw", F.nanvl(raw, F.lit(None)))
+
+
+def _scored_by_category(features: DataFrame, complete: Column, forest: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows with `_raw`, each category's rows split over tasks that get a copy of its trees."""
     tasks = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salts = F.greatest(F.ceil(F.col("n_rows") / ROWS_PER_TASK),
                        F.least(F.ceil(F.col("n_rows") / LEAST_ROWS_PER_TASK), F.lit(tasks))).cast("int")
-    salted = (join_measured(rows, sizes, CATEGORY, "inner")
+    salted = (join_measured(features.where(complete), sizes, CATEGORY, "inner")
               .withColumn("salt", F.pmod(F.xxhash64(UNIT, DATE), salts).cast("int"))
               .select(CATEGORY, UNIT, DATE, "salt", *FEATURES))
     copies = forest.join(sizes, CATEGORY).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
@@ -125,18 +146,33 @@ def isolation_scores(features: DataFrame, cfg: LedgerConfig = DEFAULT) -> DataFr
     def score(part: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
         out = part[[CATEGORY, UNIT, DATE]].copy()
         if len(part) == 0 or len(trees) == 0:
-            return out.assign(raw=np.nan).iloc[:0]
-        x = part[FEATURES].to_numpy(float)
-        depth = np.zeros(len(x))
-        for tree in trees.sort_values("tree").itertuples():
-            depth += _depths(x, np.asarray(tree.feature), np.asarray(tree.cut), np.asarray(tree.size))
-        usual = len(trees) * float(_path_left([trees["sample"].iloc[0]])[0])
-        return out.assign(raw=-np.power(2.0, -depth / usual))
+            return out.assign(_raw=np.nan).iloc[:0]
+        return out.assign(_raw=_score(part[FEATURES].to_numpy(float), _arrays(trees)))
 
     groups = [spread(rows, CATEGORY, "salt").groupBy(CATEGORY, "salt") for rows in (salted, copies)]
-    raw = cut(groups[0].cogroup(groups[1])
-              .applyInPandas(score, f"{CATEGORY} string, {UNIT} string, {DATE} date, raw double"))
-    zero = group_quantiles(raw, [CATEGORY], "raw", {"zero": cfg.contamination})
-    scores = join_measured(raw, zero, CATEGORY).select(
-        CATEGORY, UNIT, DATE, (F.col("raw") - F.col("zero")).alias("isolation_score"))
-    return features.join(scores, [CATEGORY, UNIT, DATE], "left")
+    raw = groups[0].cogroup(groups[1]).applyInPandas(
+        score, f"{CATEGORY} string, {UNIT} string, {DATE} date, _raw double")
+    return features.join(raw, [CATEGORY, UNIT, DATE], "left")
+
+
+def isolation_scores(features: DataFrame, cfg: LedgerConfig = DEFAULT, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Rows with isolation_score (below 0: anomalous), missing where a category is too small.
+
+    Only rows of units with enough observations take part. The zero point is set per category so that
+    the share `contamination` of its rows lies below it.
+    """
+    complete = F.col("sufficient")
+    for name in FEATURES:
+        complete = complete & F.col(name).isNotNull()
+    features = stored(features)
+    rows = features.where(complete)
+    sizes = (rows.groupBy(CATEGORY).agg(F.count(F.lit(1)).alias("n_rows"))
+             .where(F.col("n_rows") >= cfg.forest_min_rows))
+    sizes = stored(sizes)
+    forest = stored(fit_forest(rows, sizes, cfg))
+    held = forest.agg(F.sum(F.size("feature").cast("long") * 16)).first()[0] or 0
+    scored = stored(_scored_in_place(features, complete, forest) if held <= broadcast_bytes
+                    else _scored_by_category(features, complete, forest, sizes))
+    zero = group_quantiles(scored, [CATEGORY], "_raw", {"_zero": cfg.contamination})
+    return (join_measured(scored, zero, CATEGORY)
+            .withColumn("isolation_score", F.col("_raw") - F.col("_zero")).drop("_raw", "_zero"))

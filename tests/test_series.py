@@ -64,6 +64,10 @@ def test_forest_finds_planted_outliers(daily):
     assert set(got.nsmallest(3, "isolation_score").fuel_liter.round()) == {400, 1, 350}
     assert abs((got.isolation_score < 0).mean() - 0.03) < 0.011
     assert rows.where("equipment_category = 'B' AND isolation_score IS NOT NULL").count() == 0
+    apart = isolation.isolation_scores(features.unit_features(daily({("A", "u"): values, ("B", "few"): range(20)})),
+                                       LedgerConfig(forest_trees=100), broadcast_bytes=0)
+    key = ["equipment_category", "equipment_id", "date", "fuel_liter", "isolation_score"]
+    assert rows.select(key).exceptAll(apart.select(key)).count() == 0 and apart.count() == rows.count()
 
 
 def brute_breaks(values, penalty, min_size, jump):
