@@ -53,6 +53,12 @@ def test_vendor_report(spark):
         vendor.vendor_ledger(report.drop("Unit"))
 
 
+def test_vendor_rows_without_numbers_are_numbered(spark):
+    report = spark.range(0, 1000, 1, 7).selectExpr("'2024-01-01' Date", "'FRK 01' Unit", "cast(id as string) Volume")
+    rows = vendor.vendor_ledger(report).select("source_row", "fuel_liter").orderBy("source_row").collect()
+    assert [(r.source_row, r.fuel_liter) for r in rows] == [(i + 1, float(i)) for i in range(1000)]
+
+
 def test_vendor_csv_errors(spark, tmp_path):
     with pytest.raises(SourceMissingError):
         vendor.read_vendor_csv(spark, str(tmp_path / "none"))
