@@ -62,6 +62,8 @@ class LedgerConfig:
     warn_horizon: int = 60
     climatology_days: int = 7
     backtest_days: int = 60
+    tree_bins: int = 255
+    boosting_leaf_rows: int = 20
     training_cutoff: str = "2025-12-31"
     # scenarios
     price_per_unit: float = 6800.0

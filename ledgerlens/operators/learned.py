@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -20,10 +22,11 @@ STEPS_PER_CUT = 5
 def estimator(model: str, cfg: LedgerConfig = DEFAULT):
     """The regressor of a model name."""
     if model == "random_forest":
-        return RandomForestRegressor(labelCol="y", numTrees=300, maxDepth=8, maxBins=64, maxMemoryInMB=1024, seed=cfg.seed,
-                                     featureSubsetStrategy="all")
+        return RandomForestRegressor(labelCol="y", numTrees=300, maxDepth=8, maxBins=cfg.tree_bins, maxMemoryInMB=1024,
+                                     seed=cfg.seed, featureSubsetStrategy="all")
     if model == "hist_gradient_boosting":
-        return GBTRegressor(labelCol="y", maxDepth=6, maxIter=100, stepSize=0.1, maxBins=64, seed=cfg.seed)
+        return GBTRegressor(labelCol="y", maxDepth=6, maxIter=100, stepSize=0.1, maxBins=cfg.tree_bins,
+                            minInstancesPerNode=cfg.boosting_leaf_rows, seed=cfg.seed)
     raise ValueError(f"unknown model: {model}")
 
 
@@ -86,22 +89,29 @@ def walk_forward(rows: DataFrame, model: str, cfg: LedgerConfig = DEFAULT, refit
                  learner=None) -> DataFrame:
     """One-step forecasts of the evaluated rows.
 
-    The model is refitted on the days before each block of `refit_every` evaluated days; 1 refits for
-    every day. Features always come from the days before the predicted one.
+    Blocks are ranges of `refit_every` calendar days; 1 refits for every day. The model of a block learns from
+    the days before its first day, of every series, so no series shows it a later day. Features always come
+    from the days before the predicted one. A block with too few earlier rows has missing forecasts.
     """
-    first = rows.where("evaluated").groupBy(KEY).agg(F.min("position").alias("_first"))
-    block_of = F.floor((F.col("position") - F.col("_first")) / refit_every).cast("int")
-    rows = cut(rows.join(first, KEY, "left").withColumn("_block", block_of))
-    known = cut(_vectors(feature_matrix(rows).where(F.col("y").isNotNull())))
-    asked = cut(_vectors(feature_matrix(rows, full_windows=False).where("evaluated"), "keep"))
-    n_blocks = asked.agg(F.max("_block")).first()[0] + 1
-    out = None
-    for block in range(n_blocks):
-        earlier = spread(known.where(F.col("_block") < block), KEY, DATE).select("features", "y")
-        fitted = (learner or estimator(model, cfg)).fit(earlier)
-        tested = fitted.transform(asked.where(F.col("_block") == block))
-        tested = tested.select(KEY, DATE, "y", F.col("prediction").alias("forecast_fuel"))
-        out = tested if out is None else out.unionByName(tested)
+    rows = cut(rows)
+    start = rows.where("evaluated").agg(F.min(DATE)).first()[0]
+    known = cut(_vectors(feature_matrix(rows).where(F.col("y").isNotNull())).select(KEY, DATE, "features", "y"))
+    block_of = F.floor(F.datediff(DATE, F.lit(start)) / refit_every).cast("int")
+    asked = cut(_vectors(feature_matrix(rows, full_windows=False).where("evaluated"), "keep")
+                .select(KEY, DATE, "features", "y", block_of.alias("_block")))
+    # Both lists are bounded by the calendar.
+    blocks = sorted(r[0] for r in asked.select("_block").distinct().collect())
+    held = {r[0]: r[1] for r in known.groupBy(DATE).count().collect()}
+    out = asked.where("false").select(KEY, DATE, "y", F.lit(None).cast("double").alias("forecast_fuel"))
+    for block in blocks:
+        first = start + timedelta(days=block * refit_every)
+        tested = asked.where(F.col("_block") == block)
+        if sum(n for day, n in held.items() if day < first) < MIN_ROWS:
+            tested = tested.withColumn("prediction", F.lit(None).cast("double"))
+        else:
+            earlier = spread(known.where(F.col(DATE) < F.lit(first)), KEY, DATE).select("features", "y")
+            tested = (learner or estimator(model, cfg)).fit(earlier).transform(tested)
+        out = out.unionByName(tested.select(KEY, DATE, "y", F.col("prediction").alias("forecast_fuel")))
     return out
 
 

@@ -30,45 +30,59 @@ def _start(y: np.ndarray):
     return float(means[0] - trend * (SEASON + 1) / 2), float(trend), season
 
 
-def _run(y: np.ndarray, weights: np.ndarray):
-    """Squared one-step error and final states for many weight triples at once."""
-    a, b, g = weights.T
-    level0, trend0, season0 = _start(y)
-    level, trend = np.full(len(a), level0), np.full(len(a), trend0)
-    season = np.tile(season0, (len(a), 1))
-    loss = np.zeros(len(a))
-    for t, value in enumerate(y):
-        at = t % SEASON
-        error = value - (level + trend + season[:, at])
-        loss += error ** 2
-        before = level
-        level = a * (value - season[:, at]) + (1 - a) * (level + trend)
-        trend = b * (level - before) + (1 - b) * trend
-        season[:, at] += g * (1 - a) * error
+def _run(y: np.ndarray, ends: np.ndarray, weights: np.ndarray):
+    """Squared one-step error and last states of many fits at once; fit i has its weight triples and ends before ends[i]."""
+    a, b, g = np.moveaxis(weights, -1, 0)
+    starts = [_start(y[:end]) for end in ends]
+    level = np.repeat([[s[0]] for s in starts], a.shape[1], axis=1)
+    trend = np.repeat([[s[1]] for s in starts], a.shape[1], axis=1)
+    season = np.repeat([[s[2]] for s in starts], a.shape[1], axis=1)
+    loss = np.zeros(a.shape)
+    for t in range(int(ends.max())):
+        go = int(np.searchsorted(ends, t, side="right"))
+        at, run = t % SEASON, slice(go, None)
+        error = y[t] - (level[run] + trend[run] + season[run, :, at])
+        loss[run] += error ** 2
+        before = level[run].copy()
+        level[run] = a[run] * (y[t] - season[run, :, at]) + (1 - a[run]) * (before + trend[run])
+        trend[run] = b[run] * (level[run] - before) + (1 - b[run]) * trend[run]
+        season[run, :, at] += g[run] * (1 - a[run]) * error
     return loss, level, trend, season
 
 
-def fit_forecast(y: np.ndarray, horizon: int) -> np.ndarray:
-    """Forecasts after the end of y with the weights of least squared one-step error.
+def fit_forecasts(y: np.ndarray, ends: np.ndarray, horizon: int) -> np.ndarray:
+    """Forecasts after y[:end] for each of the rising ends, each with the weights of least squared one-step error.
 
     A coarse grid of the three weights is searched first, then refined around the best twice.
     """
-    if len(y) == 0 or np.isnan(y).any():
-        return np.full(horizon, np.nan)
-    centre, width = np.array([0.5, 0.25, 0.25]), 0.5
-    best = None
+    out = np.full((len(ends), horizon), np.nan)
+    gaps = np.flatnonzero(np.isnan(y))
+    fit = (ends > 0) & (ends <= (gaps[0] if len(gaps) else len(y)))
+    if not fit.any():
+        return out
+    ends = ends[fit]
+    rows, ahead = np.arange(len(ends)), np.arange(1, horizon + 1)
+    centre, width = np.tile([0.5, 0.25, 0.25], (len(ends), 1)), 0.5
+    least, found = np.full(len(ends), np.inf), np.full((len(ends), horizon), np.nan)
     for _ in range(4):
-        marks = [np.unique(np.clip(c + width * np.linspace(-1, 1, 5), 1e-4, 0.9999)) for c in centre]
-        grid = np.array(np.meshgrid(*marks)).reshape(3, -1).T
-        loss, level, trend, season = _run(y, grid)
-        at = int(np.argmin(loss))
-        if best is None or loss[at] <= best[0]:
-            best = (loss[at], level[at], trend[at], season[at].copy())
-            centre = grid[at]
+        steps = np.array(np.meshgrid(*[np.linspace(-1, 1, 5)] * 3, indexing="ij")).reshape(3, -1).T
+        grid = np.clip(centre[:, None, :] + width * steps, 1e-4, 0.9999)
+        loss, level, trend, season = _run(y, ends, grid)
+        at = loss.argmin(axis=1)
+        better = loss[rows, at] <= least
+        least = np.where(better, loss[rows, at], least)
+        path = (level[rows, at][:, None] + trend[rows, at][:, None] * ahead
+                + season[rows, at][rows[:, None], (ends[:, None] + ahead - 1) % SEASON])
+        found = np.where(better[:, None], path, found)
+        centre = np.where(better[:, None], grid[rows, at], centre)
         width /= 2
-    _, level, trend, season = best
-    ahead = np.arange(1, horizon + 1)
-    return level + trend * ahead + season[(len(y) + ahead - 1) % SEASON]
+    out[fit] = found
+    return out
+
+
+def fit_forecast(y: np.ndarray, horizon: int) -> np.ndarray:
+    """Forecasts after the end of y."""
+    return fit_forecasts(y, np.array([len(y)]), horizon)[0]
 
 
 def holt_winters_path(series: DataFrame, horizon: int, model: str = "holt_winters",
@@ -88,18 +102,14 @@ def holt_winters_path(series: DataFrame, horizon: int, model: str = "holt_winter
 
 
 def walk_forward(rows: DataFrame, model: str = "holt_winters", cfg: LedgerConfig = DEFAULT) -> DataFrame:
-    """One-step forecasts of the evaluated rows, one fit per series and day, fits spread over tasks."""
-    origins = rows.where("evaluated").select(KEY, F.col("position").alias("origin"), F.col(DATE).alias("origin_date"),
-                                             F.col("y").alias("actual"))
-    history = origins.join(rows.select(KEY, "position", "y"), KEY).where(F.col("position") < F.col("origin"))
-
-    def one(key, part: pd.DataFrame) -> pd.DataFrame:
+    """One-step forecasts of the evaluated rows, refitted for every day; a series is one group and moves once."""
+    def one(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("position")
-        step = fit_forecast(part["y"].to_numpy(float), 1)[0]
-        return pd.DataFrame({KEY: [key[0]], "origin": [key[1]], "forecast_fuel": [step]})
-
-    steps = spread(history, KEY, "origin").groupBy(KEY, "origin").applyInPandas(
-        one, f"{KEY} string, origin int, forecast_fuel double")
-    return (origins.join(steps, [KEY, "origin"])
-            .select(KEY, F.col("origin_date").alias(DATE), F.col("actual").alias("y"),
-                    F.nanvl("forecast_fuel", F.lit(None)).alias("forecast_fuel")))
+        at = np.flatnonzero(part["evaluated"].to_numpy(bool))
+        tested = part.iloc[at][[KEY, DATE, "y"]]
+        return tested.assign(forecast_fuel=fit_forecasts(part["y"].to_numpy(float), at, 1)[:, 0])
+
+    steps = spread(rows.select(KEY, DATE, "y", "position", "evaluated"), KEY).groupBy(KEY).applyInPandas(
+        one, f"{KEY} string, {DATE} date, y double, forecast_fuel double")
+    return steps.select(KEY, DATE, F.nanvl("y", F.lit(None)).alias("y"),
+                        F.nanvl("forecast_fuel", F.lit(None)).alias("forecast_fuel"))

@@ -90,6 +90,28 @@ def test_holt_winters_learns_trend_and_season(series):
     assert tested.count() == 10
 
 
+def test_fits_of_many_ends_equal_single_fits():
+    values = weekly(90, 2) + np.random.default_rng(3).normal(0, 2, 90)
+    ends = np.array([0, 3, 10, 40, 41, 90])
+    many = smoothing.fit_forecasts(values, ends, 2)
+    single = [smoothing.fit_forecasts(values[:end], np.array([end]), 2)[0] for end in ends]
+    assert np.isnan(many[0]).all() and np.array_equal(many, np.array(single), equal_nan=True)
+
+
+def test_tree_backtest_learns_from_earlier_days_only(spark):
+    """A second series that goes on after the first has ended must not change the first one's forecasts."""
+    def rows(later):
+        first = [("a", dt.date(2024, 1, 1) + dt.timedelta(days=i), float(v)) for i, v in enumerate(weekly(110, 1))]
+        second = [("b", dt.date(2024, 1, 1) + dt.timedelta(days=i), 20.0 if i < 98 else later) for i in range(150)]
+        data = spark.createDataFrame(first + second, "series_key string, date date, y double")
+        return forecast.backtest_rows(data, LedgerConfig(backtest_days=12))
+
+    learner = RandomForestRegressor(labelCol="y", numTrees=4, maxDepth=4, seed=1)
+    got = [learned.walk_forward(rows(later), "random_forest", refit_every=12, learner=learner)
+           .where("series_key = 'a'").orderBy("date").toPandas().forecast_fuel for later in (20.0, 9000.0)]
+    assert len(got[0]) == 12 and got[0].notna().all() and np.array_equal(got[0], got[1])
+
+
 def test_learned_model_beats_the_mean(series):
     learner = RandomForestRegressor(labelCol="y", numTrees=10, maxDepth=6, seed=1)
     ahead = learned.learned_path(series(weekly(200, 1)), 7, "random_forest", learner=learner).orderBy("step").toPandas()
