@@ -23,22 +23,26 @@ from pyspark.sql.window import Window
 SHIFTS = {"_p1": 36, "_p2": 18, "_p3": 0}
 
 
-def _key(value: Column) -> Column:
-    """A long that rises with the value: sign, exponent and the first 40 bits of the fraction."""
-    size = F.abs(value)
-    guess = F.floor(F.log2(size))
-    near = size / F.pow(F.lit(2.0), guess)
-    exponent = guess + F.when(near >= 2, 1).when(near < 1, -1).otherwise(0)
-    fraction = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * float(1 << 40))
-    key = (exponent + 1075) * F.lit(1 << 40) + fraction
-    key = F.when(size == 0, F.lit(0)).when(size == float("inf"), F.lit(1 << 52)).otherwise(key)
-    return F.when(value < 0, -key).otherwise(key).cast("long")
+def _keyed(df: DataFrame, value: str) -> DataFrame:
+    """Adds _key, a long that rises with the value: sign, exponent and the first 40 bits of the fraction.
+
+    Step by step, so that no step's expression is written out again in the next one.
+    """
+    size, two = F.col("_size"), F.lit(2.0)
+    df = df.withColumn("_size", F.abs(F.col(value).cast("double")))
+    df = df.withColumn("_guess", F.floor(F.log2(F.nullif(size, F.lit(0.0)))).cast("int"))
+    df = df.withColumn("_near", size / F.pow(two, F.col("_guess")))
+    df = df.withColumn("_exponent", F.col("_guess") + F.when(F.col("_near") >= 2, 1).when(F.col("_near") < 1, -1).otherwise(0))
+    fraction = F.floor((size / F.pow(two, F.col("_exponent")) - 1) * float(1 << 40))
+    df = df.withColumn("_key", (F.col("_exponent") + 1075) * F.lit(1 << 40) + fraction)
+    df = df.withColumn("_key", F.when(size == float("inf"), F.lit(1 << 52)).otherwise(F.coalesce("_key", F.lit(0))))
+    df = df.withColumn("_key", F.when(F.col(value) < 0, -F.col("_key")).otherwise(F.col("_key")).cast("long"))
+    return df.drop("_size", "_guess", "_near", "_exponent")
 
 
 def _counted(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     present = df.where(F.col(value).isNotNull() & ~F.isnan(value))
-    counted = (present.groupBy(*keys, F.col(value)).agg(F.count(F.lit(1)).alias("_ties"))
-               .withColumn("_key", _key(F.col(value).cast("double"))))
+    counted = _keyed(present.groupBy(*keys, F.col(value)).agg(F.count(F.lit(1)).alias("_ties")), value)
     return counted.withColumns({name: F.shiftright("_key", bits) for name, bits in SHIFTS.items()}).drop("_key")
 
 

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.ranks import _counted, _key, _levels, group_quantiles, percent_ranks, value_ranks
+from ledgerlens.functions.ranks import _counted, _keyed, _levels, group_quantiles, percent_ranks, value_ranks
 from ledgerlens.operators import cleaning, quality
 
 
@@ -70,7 +70,7 @@ def test_quantiles_of_close_and_extreme_values(spark):
     assert [got[name] for name in wanted] == pytest.approx(list(np.quantile(values, list(wanted.values()))), rel=1e-12)
     placed = value_ranks(frame, ["g"], "v").orderBy("v").toPandas()
     assert (placed._before.to_numpy() == np.arange(len(np.unique(values)))).all()
-    keys = frame.select("v", _key(F.col("v")).alias("k")).distinct().orderBy("v").toPandas().k.to_numpy()
+    keys = _keyed(frame, "v").orderBy("v").toPandas()._key.to_numpy()
     assert (np.diff(keys) >= 0).all()
 
 
