@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from datetime import timedelta
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -17,6 +20,8 @@ from ledgerlens.scratch import cut, spread
 
 MIN_ROWS = 40
 STEPS_PER_CUT = 5
+# Fits of a backtest at a time.
+FITS = 8
 
 
 def estimator(model: str, cfg: LedgerConfig = DEFAULT):
@@ -102,17 +107,20 @@ def walk_forward(rows: DataFrame, model: str, cfg: LedgerConfig = DEFAULT, refit
     # Both lists are bounded by the calendar.
     blocks = sorted(r[0] for r in asked.select("_block").distinct().collect())
     held = {r[0]: r[1] for r in known.groupBy(DATE).count().collect()}
-    out = asked.where("false").select(KEY, DATE, "y", F.lit(None).cast("double").alias("forecast_fuel"))
-    for block in blocks:
+    def tested(block: int) -> DataFrame:
         first = start + timedelta(days=block * refit_every)
-        tested = asked.where(F.col("_block") == block)
+        days = asked.where(F.col("_block") == block)
         if sum(n for day, n in held.items() if day < first) < MIN_ROWS:
-            tested = tested.withColumn("prediction", F.lit(None).cast("double"))
+            days = days.withColumn("prediction", F.lit(None).cast("double"))
         else:
             earlier = spread(known.where(F.col(DATE) < F.lit(first)), KEY, DATE).select("features", "y")
-            tested = (learner or estimator(model, cfg)).fit(earlier).transform(tested)
-        out = out.unionByName(tested.select(KEY, DATE, "y", F.col("prediction").alias("forecast_fuel")))
-    return out
+            days = (learner or estimator(model, cfg)).fit(earlier).transform(days)
+        return days.select(KEY, DATE, "y", F.col("prediction").alias("forecast_fuel"))
+
+    none = asked.where("false").select(KEY, DATE, "y", F.lit(None).cast("double").alias("forecast_fuel"))
+    # Fits are chains of small jobs that do not depend on each other, so some go on side by side.
+    with ThreadPool(FITS) as pool:
+        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(rows.sparkSession)(tested), blocks, 1), none)
 
 
 __all__ = ["CALENDAR", "estimator", "train", "learned_path", "walk_forward", "state_features"]

@@ -155,3 +155,19 @@ def test_drift(spark):
                                               "rolling_wape double, model_health_status string")
     assert monitoring.drift_warnings(performance).first().drift is True
     assert monitoring.latest_performance(performance).first().rolling_wape == 13.0
+
+
+def test_registered_backtest_of_boosting_refits_for_each_day(monkeypatch):
+    from workload import runs
+
+    asked = []
+
+    def walk(rows, model, cfg=None, refit_every=1, learner=None):
+        asked.append((model, refit_every, learner))
+
+    monkeypatch.setattr(runs, "flag_series", lambda spark, d: None)
+    monkeypatch.setattr(forecast, "backtest_rows", lambda series: None)
+    monkeypatch.setattr(runs, "shown", lambda rows: rows)
+    monkeypatch.setattr(learned, "walk_forward", walk)
+    runs.QUERIES["f8_backtest_boosting"](None, "")
+    assert asked == [("hist_gradient_boosting", 1, None)]

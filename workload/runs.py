@@ -654,7 +654,7 @@ def f8_backtest_holt_winters(spark, d):
 @query
 def f8_backtest_boosting(spark, d):
     rows = forecast.backtest_rows(flag_series(spark, d))
-    return shown(learned.walk_forward(rows, "hist_gradient_boosting", refit_every=60))
+    return shown(learned.walk_forward(rows, "hist_gradient_boosting"))
 
 
 @query
