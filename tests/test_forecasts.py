@@ -171,3 +171,18 @@ def test_registered_backtest_of_boosting_refits_for_each_day(monkeypatch):
     monkeypatch.setattr(learned, "walk_forward", walk)
     runs.QUERIES["f8_backtest_boosting"](None, "")
     assert asked == [("hist_gradient_boosting", 1, None)]
+
+
+def test_targets_hold_every_series_and_model_choice_every_model(spark, monkeypatch):
+    from workload import runs
+
+    series = spark.createDataFrame([(k, dt.date(2024, 1, 1), 1.0) for k in "ANRX"], "series_key string, date date, y double")
+    days = {dt.date(2022, 1, 5), dt.date(2022, 3, 1)}
+    monkeypatch.setattr(runs.b, "table", lambda *_: spark.createDataFrame([(x,) for x in days] * 2, "o_orderdate date"))
+    got = [tuple(r) for r in runs.order_days(spark, "", series).collect()]
+    assert sorted(got) == [(k, x) for k in "ANRX" for x in (dt.date(2024, 1, 5), dt.date(2024, 3, 1))]
+    models = []
+    monkeypatch.setattr(runs, "flag_series", lambda *_: series)
+    monkeypatch.setattr(runs, "cut", lambda rows: rows)
+    monkeypatch.setattr(forecast, "forecast_path", lambda rows, horizon, model: models.append(model) or rows)
+    assert runs.f7_model_choice(spark, "").count() == 28 and len(set(models)) == 7

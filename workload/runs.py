@@ -630,7 +630,7 @@ def f6_holt_winters(spark, d):
 def f7_model_choice(spark, d):
     series = cut(flag_series(spark, d))
     out = None
-    for model in (*forecast.BASELINES, "holt_winters"):
+    for model in (*forecast.BASELINES, "holt_winters", "random_forest", "hist_gradient_boosting"):
         rows = forecast.forecast_path(series, 14, model).withColumn("model", F.lit(model))
         out = rows if out is None else out.unionByName(rows)
     return shown(out)
@@ -662,21 +662,25 @@ def f9_residual_quantiles(spark, d):
     return shown(forecast.residual_quantiles(forecast.one_step_forecasts(flag_series(spark, d), "naive")))
 
 
-def order_days(spark, d):
+def order_days(spark, d, series):
     """Every series with every order day, moved two years ahead, as a target."""
     days = b.table(spark, d, "orders").select(F.add_months(F.to_date("o_orderdate"), 24).alias("target_date")).distinct()
-    flags = F.explode(F.array(F.lit("A"), F.lit("N"), F.lit("R"))).alias("series_key")
-    return days.select(flags, "target_date")
+    low, high = days.agg(F.min("target_date"), F.max("target_date")).first()
+    between = F.explode(F.sequence(F.lit(low).cast("date"), F.lit(high).cast("date"))).alias("target_date")
+    keys = series.select("series_key").distinct()
+    return keys.select("series_key", between).join(days, "target_date").select("series_key", "target_date")
 
 
 @query
 def f10_climatology(spark, d):
-    return shown(forecast.climatology(flag_series(spark, d), order_days(spark, d)))
+    series = flag_series(spark, d)
+    return shown(forecast.climatology(series, order_days(spark, d, series)))
 
 
 @query
 def f11_forecast_for_dates(spark, d):
-    return shown(forecast.forecast_for_dates(cut(flag_series(spark, d)), order_days(spark, d), "seasonal_naive_7"))
+    series = cut(flag_series(spark, d))
+    return shown(forecast.forecast_for_dates(series, order_days(spark, d, series), "seasonal_naive_7"))
 
 
 @query
