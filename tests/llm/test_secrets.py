@@ -28,10 +28,12 @@ def entropy(window):
 
 def method_spans(text):
     found = []
-    for k, (_, pattern, least) in enumerate(secrets.CLASSES, start=3):
-        for m in re.finditer(pattern, text or ""):
-            windows = (m[0][i:i + secrets.WINDOW] for i in range(len(m[0]) - secrets.WINDOW + 1))
-            if not re.search(secrets.ALLOWED, m[0]) and max(map(entropy, windows)) >= least - 1e-9:
+    for k, (_, one, _, least) in enumerate(secrets.CLASSES, start=3):
+        for m in re.finditer(f"{one}{{{secrets.WINDOW},}}", text or ""):
+            samples = [x.span() for x in re.finditer(secrets.SAMPLES, m[0])]
+            windows = [(i, i + secrets.WINDOW) for i in range(len(m[0]) - secrets.WINDOW + 1)]
+            free = [m[0][a:b] for a, b in windows if not any(a < y and x < b for x, y in samples)]
+            if not re.search(secrets.HARMLESS, m[0]) and max(map(entropy, free), default=-1) >= least - 1e-9:
                 found.append((m.start(), k, m.end()))
     return found
 
@@ -67,6 +69,31 @@ def test_sliding_windows_of_long_candidates(documents):
         assert r.s == listed(sorted(base_spans(r.text) + method_spans(r.text)))
 
 
+def test_every_key_of_a_text_and_no_run_of_low_entropy(documents):
+    import random
+    import string
+
+    draw = random.Random(8)
+    keys = ["".join(draw.choices(string.ascii_letters + string.digits, k=40)) for _ in range(8)]
+    low = ["a" * 20 + "1", "ab1a" * 9, "0" * 19 + "f" * 19]
+    got = secrets.spans(documents([" ".join(keys), " ".join(low)])).orderBy("doc_id").collect()
+    assert [s.value for s in got[0].spans if s.rank == 4] == keys
+    assert [(s.value, s.rank) for s in got[1].spans] == [(low[1], 2), (low[2], 2)]  # the base kind alone
+
+
+def test_sample_words_free_only_what_they_overlap(documents):
+    key = "qW3rT9zK4mX8vB2nL7pJ5hG1fD6sA0yU" + "cE+iO"
+    texts = [f"com/sample/{key}", "x/example/abcdefgh/0123456789/qW3rT9", f"{key[:10]}EXAMPLE{key[10:20]}", f"sample{key}example"]
+    got = [[s.value for s in r.spans] for r in secrets.spans(documents(texts)).orderBy("doc_id").collect()]
+    assert got == [[texts[0]], [], [], [texts[3]]]
+
+
+def test_many_matches_in_one_text(documents):
+    text = " ".join(f"é token=abc{i}def" for i in range(3 * secrets.BLOCK + 5))
+    got = secrets.spans(documents([text])).select(secrets.listed(secrets.F.col("base")).alias("b")).first().b
+    assert got == listed(base_spans(text))
+
+
 def test_redaction_keeps_all_else(documents):
     docs = documents([*enumerate(TEXTS), (3, TEXTS[3])]).withColumnRenamed("lang", "spans").withColumnRenamed("source", "own")
     out = secrets.redact(docs)
