@@ -4,7 +4,7 @@ The others are tested against brute force: merges of tokenizers (4, 6, 8), parsi
 and adaptive weights (10).
 """
 
-from . import chat, mixing, quality
+from . import chat, decontaminate, mixing, quality
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -151,4 +151,34 @@ select words.doc_id, coalesce(any_value(n), 0)::bigint as n_shingles,
 from words left join sizes using (doc_id) left join reach using (doc_id) group by words.doc_id
 """
 
-ORACLE = {"op1_quality_rules": OP1, "op2_chat_perspectives": OP2, "op3_source_mixing": OP3, "op9_ngram_jaccard_join": OP9}
+_FOLDED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP12 = f"""
+with docs as (
+    select row_number() over () as ref, doc_id, coalesce(regexp_extract_all(
+        {_FOLDED.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) as w
+    from documents),
+tests as (
+    select coalesce(item_id::varchar, '') as item, coalesce(regexp_extract_all(
+        {_FOLDED.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) as w
+    from benchmark),
+sized as (select item, w, least(len(w), {decontaminate.WINDOW}) as n from tests where len(w) > 0),
+windows as (
+    select distinct item, n, array_to_string(w[i:i + n - 1], ' ') as words
+    from (select item, w, n, unnest(range(1, len(w) - n + 2)) as i from sized)),
+places as (
+    select ref, n, i, array_to_string(w[i:i + n - 1], ' ') as words
+    from (select ref, w, n, unnest(range(1, len(w) - n + 2)) as i from docs, (select distinct n from windows) where len(w) >= n)),
+found as (select distinct ref, places.n, i, item from places join windows on places.words = windows.words and places.n = windows.n),
+hit as (
+    select ref, count(distinct pos) as n_hit
+    from (select ref, unnest(range(i, i + n)) as pos from (select distinct ref, n, i from found)) group by ref),
+items as (
+    select ref, count(*) as n_items, string_agg(item, ',' order by item) as listed
+    from (select distinct ref, item from found) group by ref)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(listed, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs left join hit using (ref) left join items using (ref)
+"""
+
+ORACLE = {"op1_quality_rules": OP1, "op2_chat_perspectives": OP2, "op3_source_mixing": OP3, "op9_ngram_jaccard_join": OP9,
+          "op12_benchmark_decontamination": OP12}

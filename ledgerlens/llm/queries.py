@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.scratch import new_path
 
-from . import bpe, chat, fingerprints, mixer, mixing, ngramjoin, quality, secrets, tokenfiles, transducer
+from . import bpe, chat, decontaminate, fingerprints, mixer, mixing, ngramjoin, quality, secrets, tokenfiles, transducer
 from .common import table
 
 
@@ -59,6 +59,13 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixer.score(table(spark, sf_dir, "documents"))
 
 
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,4 +74,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_chat_perspectives, op3_source_mixing, op4_byte_bpe, op5_document_fingerprints,
-    op6_token_counts, op7_secret_scan, op8_token_files, op9_ngram_jaccard_join, op10_context_mixing, pipeline)}
+    op6_token_counts, op7_secret_scan, op8_token_files, op9_ngram_jaccard_join, op10_context_mixing,
+    op12_benchmark_decontamination, pipeline)}

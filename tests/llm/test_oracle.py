@@ -10,7 +10,7 @@ from .conftest import SMALL
 @pytest.mark.parametrize("name", ORACLE)
 def test_query_equals_sql(spark, name):
     base = duckdb.connect()
-    for t in ("documents", "labels", "conversations"):
+    for t in ("documents", "labels", "conversations", "benchmark", "embeddings"):
         base.sql(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     want = base.sql(ORACLE[name]).df()
     got = QUERIES[name](spark, SMALL).toPandas()
