@@ -4,7 +4,7 @@ The others are tested against brute force: merges of tokenizers (4, 6, 8), parsi
 and adaptive weights (10).
 """
 
-from . import chat, decontaminate, mixing, quality
+from . import chat, decontaminate, divergence, mixing, quality
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -180,5 +180,38 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
 from docs left join hit using (ref) left join items using (ref)
 """
 
+_SHARE = ("(1 + ({scale}::hugeint * ({{}} + {smooth})) // ({{}} + {smooth} * v))::bigint"
+          .format(scale=divergence.SCALE, smooth=divergence.SMOOTH))
+OP13 = f"""
+with docs as (
+    select row_number() over () as ref, coalesce(lang, '') as lang, coalesce(source, '') as source,
+           regexp_extract_all({_FOLDED.format("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w
+    from documents),
+words as (select ref, lang, source, unnest(w) as term from docs),
+kept as (select lang, term, count(*) as c from words group by all having count(distinct ref) >= {divergence.LEAST}),
+langs as (select lang, count(*) as v, sum(c) as n from kept group by lang),
+groups as (select distinct lang, source from docs),
+own as (select lang, source, term, count(*) as c from words semi join kept using (lang, term) group by all),
+sums as (select lang, source, sum(c) as n from own group by all),
+dense as (
+    select g.lang, g.source, k.term, coalesce(o.c, 0) as c, {_SHARE.format("coalesce(o.c, 0)", "coalesce(s.n, 0)")} as p,
+           {_SHARE.format("k.c", "l.n")} as q
+    from groups g join kept k using (lang) join langs l using (lang)
+    left join own o on o.lang = g.lang and o.source = g.source and o.term = k.term
+    left join sums s on s.lang = g.lang and s.source = g.source),
+apart as (
+    select a.lang, a.source, b.source as item, sum(abs(a.p - b.p))::bigint as value
+    from dense a join dense b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+every as (
+    select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+    from groups a join groups b on a.lang = b.lang and a.source <> b.source
+    left join apart on apart.lang = a.lang and apart.source = a.source and apart.item = b.source
+    union all
+    select lang, source, 'term', term, p - q from dense where c > 0 and p > q),
+ranked as (
+    select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from every)
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= {divergence.TERMS}
+"""
+
 ORACLE = {"op1_quality_rules": OP1, "op2_chat_perspectives": OP2, "op3_source_mixing": OP3, "op9_ngram_jaccard_join": OP9,
-          "op12_benchmark_decontamination": OP12}
+          "op12_benchmark_decontamination": OP12, "op13_source_divergence": OP13}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.scratch import new_path
 
-from . import bpe, chat, decontaminate, fingerprints, mixer, mixing, ngramjoin, quality, secrets, tokenfiles, transducer
+from . import bpe, chat, decontaminate, divergence, fingerprints, mixer, mixing, ngramjoin, quality, secrets, tokenfiles, transducer
 from .common import table
 
 
@@ -66,6 +66,10 @@ def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,4 +79,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_chat_perspectives, op3_source_mixing, op4_byte_bpe, op5_document_fingerprints,
     op6_token_counts, op7_secret_scan, op8_token_files, op9_ngram_jaccard_join, op10_context_mixing,
-    op12_benchmark_decontamination, pipeline)}
+    op12_benchmark_decontamination, op13_source_divergence, pipeline)}
