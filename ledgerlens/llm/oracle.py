@@ -4,7 +4,7 @@ The others are tested against brute force: merges of tokenizers (4, 6, 8), parsi
 and adaptive weights (10).
 """
 
-from . import chat, decontaminate, divergence, mixing, quality
+from . import chat, decontaminate, divergence, mixing, nsbounds, quality
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -213,5 +213,34 @@ ranked as (
 select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= {divergence.TERMS}
 """
 
+_ROUNDS = ",".join(f"""
+d{r} as (
+    select v.ref, c.k, sum((v.x - c.x) * (v.x - c.x)) as d from cells v join c{r} c on v.dim = c.dim group by v.ref, c.k),
+n{r} as (select ref, min(k) as k from (select *, min(d) over (partition by ref) as least from d{r}) where d = least group by ref),
+s{r} as (select k, dim, sum(x) as s, count(*) as n from cells join n{r} using (ref) group by k, dim),
+c{r + 1} as (
+    select c.k, c.dim, coalesce((s - ((s % n) + n) % n) // n, c.x) as x
+    from c{r} c left join s{r} s on s.k = c.k and s.dim = c.dim)""" for r in range(nsbounds.ROUNDS))
+OP11 = f"""
+with kept as (
+    select row_number() over () as ref, vec_id, embedding from embeddings
+    where len(embedding) = {nsbounds.DIMS} and len(list_filter(embedding, lambda c: abs(c) <= {nsbounds.REACH})) = {nsbounds.DIMS}),
+cells as (
+    select ref, vec_id, dim, floor({nsbounds.SCALE} * embedding[dim]::double)::hugeint as x
+    from (select *, unnest(range(1, {nsbounds.DIMS + 1})) as dim from kept)),
+firsts as (
+    select ref, row_number() over (order by sha256('{nsbounds.SEED}:' || coalesce(vec_id::varchar, 'null')), list_transform(
+        embedding, lambda c: floor({nsbounds.SCALE} * c::double))) - 1 as k
+    from kept qualify k < {nsbounds.CLUSTERS}),
+c0 as (select k, dim, x from cells join firsts using (ref)),{_ROUNDS},
+ends as (select v.ref, c.k, sum((v.x - c.x) * (v.x - c.x)) as d from cells v join c{nsbounds.ROUNDS} c on v.dim = c.dim group by v.ref, c.k),
+nearest as (
+    select ref, d, min(k) as k from (select *, min(d) over (partition by ref) as least from ends) where d = least group by ref, d),
+digests as (select k, sha256(string_agg(x::varchar, ',' order by dim)) as centroid_sha256 from c{nsbounds.ROUNDS} group by k)
+select vec_id, k::int as cluster, d::bigint as distance, (sum(d) over (partition by k))::bigint as cluster_inertia,
+       (sum(d) over ())::bigint as inertia, centroid_sha256
+from nearest join kept using (ref) join digests using (k)
+"""
+
 ORACLE = {"op1_quality_rules": OP1, "op2_chat_perspectives": OP2, "op3_source_mixing": OP3, "op9_ngram_jaccard_join": OP9,
-          "op12_benchmark_decontamination": OP12, "op13_source_divergence": OP13}
+          "op11_centroid_clustering": OP11, "op12_benchmark_decontamination": OP12, "op13_source_divergence": OP13}

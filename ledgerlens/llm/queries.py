@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.scratch import new_path
 
-from . import bpe, chat, decontaminate, divergence, fingerprints, mixer, mixing, ngramjoin, quality, secrets, tokenfiles, transducer
+from . import bpe, chat, decontaminate, divergence, fingerprints, mixer, mixing, ngramjoin, nsbounds, quality, secrets, tokenfiles, transducer
 from .common import table
 
 
@@ -59,6 +59,11 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixer.score(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nsbounds.cluster(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -79,4 +84,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_chat_perspectives, op3_source_mixing, op4_byte_bpe, op5_document_fingerprints,
     op6_token_counts, op7_secret_scan, op8_token_files, op9_ngram_jaccard_join, op10_context_mixing,
-    op12_benchmark_decontamination, op13_source_divergence, pipeline)}
+    op11_centroid_clustering, op12_benchmark_decontamination, op13_source_divergence, pipeline)}
