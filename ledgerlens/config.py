@@ -53,7 +53,7 @@ class LedgerConfig:
     segment_max_k: int = 6
     intermittent_ratio: float = 0.15
     growth_pct: float = 20.0
-    segment_starts: int = 4
+    segment_starts: int = 10
     # forecasting
     wape_healthy: float = 10.0
     wape_monitor: float = 15.0

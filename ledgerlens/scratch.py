@@ -44,6 +44,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(table: DataFrame) -> None:
+    """Delete a table that `stored` wrote and that nothing reads any more, as the state of a past round."""
+    spark = table.sparkSession
+    files = table.inputFiles()
+    if files and files[0].rsplit("/", 2)[-2].startswith("table-"):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Place groups on as many tasks as a shuffle has partitions.
 
