@@ -55,36 +55,63 @@ def mean_shift_scan(series: DataFrame, cfg: LedgerConfig = DEFAULT) -> DataFrame
             .withColumn("is_change", F.coalesce(peak & F.col("confirmed"), F.lit(False))))
 
 
+def _gap_of_rank(ordered: np.ndarray, rank: int) -> float:
+    """The difference of two of the ordered values that `rank` other pairs do not exceed, in memory of their number.
+
+    Non-negative doubles are ordered as their bits are, so the search halves the range of bits.
+    """
+    below = np.arange(1, len(ordered) + 1)
+    low, high = -1, int(np.float64(ordered[-1] - ordered[0]).view(np.int64))
+    while high - low > 1:
+        middle = (low + high) // 2
+        gap = np.int64(middle).view(np.float64)
+        if (np.searchsorted(ordered, ordered + gap, side="right") - below).sum() > rank:
+            high = middle
+        else:
+            low = middle
+    return float(np.int64(high).view(np.float64))
+
+
+def typical_gap(values: np.ndarray) -> float:
+    """Median of the squared differences of all pairs."""
+    ordered, pairs = np.sort(values), len(values) * (len(values) - 1) // 2
+    if not pairs:
+        return 0.0
+    return sum(_gap_of_rank(ordered, rank) ** 2 for rank in ((pairs - 1) // 2, pairs // 2)) / 2
+
+
 def kernel_breaks(values: np.ndarray, penalty: float, min_size: int, jump: int) -> list[int]:
     """Starts of new segments that minimise kernel cost plus a penalty per segment.
 
-    Penalised segmentation with the Gaussian kernel cost (Arlot, Celisse & Harchaoui 2019), bandwidth
-    by the median heuristic, solved by dynamic programming over positions that are multiples of
-    `jump`; this is the optimum that the pruned search of Killick, Fearnhead & Eckley (2012) finds.
+    Penalised segmentation with the Gaussian kernel cost (Arlot, Celisse & Harchaoui 2019), bandwidth by the median heuristic,
+    over positions that are multiples of `jump`. A start that is dearer up to some end than a break at that end stays so
+    for all later ends that allow both (Killick, Fearnhead & Eckley 2012); it is left out from there on. For each start that is left
+    the sum of the kernel over its segment grows with the end, so memory is linear in the series.
     """
-    n = len(values)
-    apart = (values[:, None] - values[None, :]) ** 2
-    typical = np.median(apart[np.triu_indices(n, 1)])
-    if typical != 0:
-        apart /= typical
-    alike = np.exp(-np.clip(apart, 1e-2, 1e2))
-    np.fill_diagonal(alike, 1.0)
+    n, typical = len(values), typical_gap(values)
     grid = np.append(np.arange(0, n, jump), n)
-    blocks = np.add.reduceat(np.add.reduceat(alike, grid[:-1], axis=0), grid[:-1], axis=1)
-    filled = np.zeros((len(grid), len(grid)))
-    filled[1:, 1:] = blocks.cumsum(axis=0).cumsum(axis=1)
-    best = np.full(len(grid), np.inf)
+    best, came = np.full(len(grid), np.inf), np.zeros(len(grid), dtype=int)
     best[0] = 0.0
-    came = np.zeros(len(grid), dtype=int)
+    starts, within, gone = np.empty(0, int), np.empty(0), np.empty(0, int)
     for end in range(1, len(grid)):
-        start = np.flatnonzero(grid[:end] <= grid[end] - min_size)
-        if len(start) == 0:
+        if np.isfinite(best[end - 1]):
+            starts, within, gone = np.append(starts, end - 1), np.append(within, 0.0), np.append(gone, n + 1)
+        left = gone > grid[end]
+        starts, within, gone = starts[left], within[left], gone[left]
+        new, first = values[grid[end - 1]:grid[end]], grid[starts[0]]
+        apart = (values[first:grid[end], None] - new[None, :]) ** 2
+        alike = np.exp(-np.clip(apart / typical if typical else apart, 1e-2, 1e2))
+        np.fill_diagonal(alike[-len(new):], 1.0)
+        onward = np.append(np.cumsum(alike.sum(axis=1)[::-1])[::-1], 0.0)
+        within += 2 * onward[grid[starts] - first] - onward[grid[end - 1] - first]
+        length = grid[end] - grid[starts]
+        fits = np.flatnonzero(length >= min_size)
+        if not len(fits):
             continue
-        length = grid[end] - grid[start]
-        within = filled[end, end] - filled[start, end] - filled[end, start] + filled[start, start]
-        price = best[start] + length - within / length + penalty
-        came[end] = start[np.argmin(price)]
-        best[end] = price.min()
+        so_far = best[starts[fits]] + length[fits] - within[fits] / length[fits]
+        came[end], best[end] = starts[fits[np.argmin(so_far)]], so_far.min() + penalty
+        dear = fits[so_far > best[end] + 1e-9]
+        gone[dear] = np.minimum(gone[dear], grid[end] + min_size)
     breaks, at = [], len(grid) - 1
     while at > 0 and np.isfinite(best[-1]):
         at = came[at]

@@ -94,6 +94,20 @@ def test_kernel_breaks_are_optimal():
     assert changepoint.kernel_breaks(np.full(40, 100.0), 5.0, 5, 5) == []
 
 
+def test_typical_gap_is_the_median_of_all_pairs():
+    rng = np.random.default_rng(5)
+    for values in (rng.normal(size=101), rng.integers(0, 5, 200).astype(float), np.zeros(40), rng.normal(size=2), np.array([3.0])):
+        pairs = [(a - b) ** 2 for k, a in enumerate(values) for b in values[:k]]
+        assert np.isclose(changepoint.typical_gap(values), np.median(pairs) if pairs else 0.0, rtol=1e-12)
+
+
+def test_pruned_search_finds_every_planted_break_of_a_long_series():
+    rng = np.random.default_rng(6)
+    values = np.concatenate([rng.normal(level, 1, 200) for level in (0, 6, 0, 12, 3)])
+    assert changepoint.kernel_breaks(values, 5.0, 5, 5) == [200, 400, 600, 800]
+    assert changepoint.kernel_breaks(values[:397], 5.0, 5, 1) == [200]
+
+
 def test_change_points(daily):
     cleaned = daily({("A", "flat"): [100.0] * 40, ("A", "step"): [50.0] * 30 + [200.0] * 30, ("A", "short"): [1.0] * 10})
     for method in ("kernel", "mean_shift"):

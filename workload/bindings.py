@@ -48,6 +48,16 @@ def events_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
                    "events", F.col("event_id"))
 
 
+def planted_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem: monthly quantity per supplier, ten times as much from a month on that depends on the supplier."""
+    month = F.trunc(F.to_date("l_shipdate"), "MM")
+    rows = table(spark, sf_dir, "lineitem").groupBy(month.alias("month"), "l_suppkey").agg(F.sum("l_quantity").alias("used"))
+    number = F.year("month") * 12 + F.month("month") - 1995 * 12
+    late = number >= 20 + F.col("l_suppkey") % 40
+    return _ledger(rows, F.col("month"), (F.col("l_suppkey") % 3).cast("string"), F.col("l_suppkey").cast("string"),
+                   F.col("used") * F.when(late, 10).otherwise(1), "planted", F.col("l_suppkey") * 1000 + number)
+
+
 def raw_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as hand-written cells: the number in props decides how a cell is filled and an id is spelt.
 

@@ -6,11 +6,14 @@ from ledgerlens import fixed_values as fv
 
 K = "equipment_category, equipment_id"
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
+RECURSIVE: set[str] = set()
 ORACLE: dict[str, str] = {}
 
 
-def cte(name: str, needs: str, text: str) -> None:
+def cte(name: str, needs: str, text: str, recursive: bool = False) -> None:
     CTES[name] = (tuple(needs.split()), text)
+    if recursive:
+        RECURSIVE.add(name)
 
 
 def _with(needs: str) -> str:
@@ -25,7 +28,7 @@ def _with(needs: str) -> str:
 
     for name in needs.split():
         visit(name)
-    return "WITH " + ",\n".join(f"{name} AS ({CTES[name][1]})" for name in order) + "\n" if order else ""
+    return ("WITH RECURSIVE " if RECURSIVE & set(order) else "WITH ") + ",\n".join(f"{name} AS ({CTES[name][1]})" for name in order) + "\n" if order else ""
 
 
 def rounded(value: str, digits: int) -> str:
@@ -82,6 +85,11 @@ cte("classed", "cells", f"""SELECT *,
     FROM (SELECT *, upper(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS word FROM cells)""")
 cte("mixed", "classed", ledger("date", "equipment_category", "equipment_id", "amount", "cells", "event_id", "classed",
                                "CASE WHEN word <> '' AND amount IS NULL THEN word END"))
+cte("planted", "", ledger("month", "CAST(l_suppkey % 3 AS VARCHAR)", "CAST(l_suppkey AS VARCHAR)",
+                          "CASE WHEN number >= 20 + l_suppkey % 40 THEN used * 10 ELSE used END", "planted",
+                          "l_suppkey * 1000 + number", """(SELECT *, year(month) * 12 + month(month) - 1995 * 12 AS number FROM (
+      SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, l_suppkey, sum(l_quantity) AS used FROM lineitem
+      GROUP BY ALL))"""))
 cte("sales", "", ledger("CAST(o_orderdate AS DATE)", "c_mktsegment", "CAST(l_suppkey AS VARCHAR)", "l_extendedprice",
                         "lineitem", LINE_ROW,
                         "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"))
@@ -107,7 +115,7 @@ def cleaned(source: str) -> str:
         FROM {source}_std s LEFT JOIN {source}_lim l ON s.equipment_category = l.equipment_category))"""
 
 
-for _source in ("lines", "supp", "ev", "mixed", "sales"):
+for _source in ("lines", "supp", "ev", "mixed", "sales", "planted"):
     cte(f"{_source}_std", _source, f"""SELECT * REPLACE (trim(regexp_replace(split_part(equipment_id, '/', 1),
         '\\s+', ' ', 'g')) AS equipment_id) FROM {_source}""")
     cte(f"{_source}_lim", f"{_source}_std", limits(f"{_source}_std"))
@@ -409,20 +417,25 @@ oracle("a7_peer_comparison", "ev_dated", f"""SELECT {K}, fuel_liter, peer_mean,
 
 # --- change points -------------------------------------------------------------------------------
 
-cte("series", "lines_used", f"""SELECT {K}, date, fuel_liter, CAST(row_number() OVER (PARTITION BY {K} ORDER BY date)
-    - 1 AS INTEGER) AS position, count(*) OVER (PARTITION BY {K}) AS n_observations FROM lines_used""")
 W = f"PARTITION BY {K} ORDER BY position ROWS BETWEEN"
-cte("scan", "series", f"""SELECT {K}, date, fuel_liter, position, coalesce(ratio >= 1, false) AS confirmed,
-      coalesce(inner_ratio >= 1 AND inner_ratio > coalesce(max(inner_ratio) OVER ({W} 4 PRECEDING AND 1 PRECEDING), -1)
-        AND inner_ratio >= coalesce(max(inner_ratio) OVER ({W} 1 FOLLOWING AND 4 FOLLOWING), -1), false) AS is_change
-    FROM (SELECT *, CASE WHEN position BETWEEN 5 AND n_observations - 5 THEN ratio END AS inner_ratio
-      FROM (SELECT *, CASE WHEN count(*) OVER ({W} 7 PRECEDING AND 1 PRECEDING) >= 2
+
+
+def series(source: str) -> str:
+    return f"""SELECT {K}, date, fuel_liter, CAST(row_number() OVER (PARTITION BY {K} ORDER BY date)
+    - 1 AS INTEGER) AS position, count(*) OVER (PARTITION BY {K}) AS n_observations FROM {source}_used"""
+
+
+def shift_ratio(source: str) -> str:
+    return f"""SELECT *, CASE WHEN count(*) OVER ({W} 7 PRECEDING AND 1 PRECEDING) >= 2
             AND count(*) OVER ({W} CURRENT ROW AND 6 FOLLOWING) >= 2
           THEN abs(avg(fuel_liter) OVER ({W} CURRENT ROW AND 6 FOLLOWING)
                  - avg(fuel_liter) OVER ({W} 7 PRECEDING AND 1 PRECEDING))
             / nullif(stddev_pop(fuel_liter) OVER ({W} 7 PRECEDING AND 6 FOLLOWING), 0) END AS ratio
-        FROM series WHERE n_observations >= 30))""")
-cte("changes", "scan", f"""SELECT {K}, change_date, {rounded('b_mean', 1)} AS before_mean,
+        FROM {source} WHERE n_observations >= 30"""
+
+
+def change_rows(scan: str) -> str:
+    return f"""SELECT {K}, change_date, {rounded('b_mean', 1)} AS before_mean,
       {rounded('a_mean', 1)} AS after_mean, {rounded('b_std', 1)} AS before_std, {rounded('a_std', 1)} AS after_std,
       {rounded('a_mean - b_mean', 1)} AS absolute_change, {rounded('pct', 1)} AS percentage_change, b_n AS n_obs_before, a_n AS n_obs_after,
       CASE WHEN pct >= 15 OR b_mean = 0 THEN CASE WHEN a_mean > b_mean THEN 'INCREASE' ELSE 'DECREASE' END
@@ -435,9 +448,49 @@ cte("changes", "scan", f"""SELECT {K}, change_date, {rounded('b_mean', 1)} AS be
       SELECT *, lag(a_mean) OVER s AS b_mean, lag(a_std) OVER s AS b_std, lag(a_n) OVER s AS b_n FROM (
         SELECT {K}, segment, avg(fuel_liter) AS a_mean, stddev_pop(fuel_liter) AS a_std, count(*) AS a_n,
           min(date) AS change_date, arg_min(confirmed, position) AS confirmed
-        FROM (SELECT *, sum(CAST(is_change AS INTEGER)) OVER ({W} UNBOUNDED PRECEDING AND CURRENT ROW) AS segment FROM scan)
+        FROM (SELECT *, sum(CAST(is_change AS INTEGER)) OVER ({W} UNBOUNDED PRECEDING AND CURRENT ROW) AS segment FROM {scan})
         GROUP BY {K}, segment) WINDOW s AS (PARTITION BY {K} ORDER BY segment)))
-    WHERE segment > 0 AND a_n >= 2 AND b_n >= 2""")
+    WHERE segment > 0 AND a_n >= 2 AND b_n >= 2"""
+
+
+cte("series", "lines_used", series("lines"))
+cte("scan", "series", f"""SELECT {K}, date, fuel_liter, position, coalesce(ratio >= 1, false) AS confirmed,
+      coalesce(inner_ratio >= 1 AND inner_ratio > coalesce(max(inner_ratio) OVER ({W} 4 PRECEDING AND 1 PRECEDING), -1)
+        AND inner_ratio >= coalesce(max(inner_ratio) OVER ({W} 1 FOLLOWING AND 4 FOLLOWING), -1), false) AS is_change
+    FROM (SELECT *, CASE WHEN position BETWEEN 5 AND n_observations - 5 THEN ratio END AS inner_ratio
+      FROM ({shift_ratio('series')}))""")
+cte("changes", "scan", change_rows("scan"))
+# The best segmentation by dynamic programming over all segments: cost of each from sums of the kernel over blocks of five.
+cte("p_series", "planted_used", series("planted"))
+cte("p_units", "p_series", f"SELECT {K}, max(n_observations) AS n FROM p_series WHERE n_observations >= 30 GROUP BY {K}")
+cte("p_pairs", "p_series", f"""SELECT {K}, a.position AS i, b.position AS j, (a.fuel_liter - b.fuel_liter) ** 2 AS apart
+    FROM p_series a JOIN p_series b USING ({K}) WHERE a.n_observations >= 30""")
+cte("p_typical", "p_pairs", f"SELECT {K}, median(apart) AS typical FROM p_pairs WHERE i < j GROUP BY {K}")
+cte("p_blocks", "p_pairs p_typical", f"""SELECT {K}, i // 5 AS one, j // 5 AS two, sum(CASE WHEN i = j THEN 1.0::DOUBLE ELSE
+      exp(-least(greatest(CASE WHEN typical = 0 THEN apart ELSE apart / typical END, 0.01), 100)) END) AS alike
+    FROM p_pairs JOIN p_typical USING ({K}) GROUP BY ALL""")
+cte("p_grid", "p_units", f"""SELECT {K}, g, least(g * 5, n) AS pos
+    FROM (SELECT *, unnest(range(0, (n + 4) // 5 + 1)) AS g FROM p_units)""")
+cte("p_ends", "p_grid p_blocks", f"""SELECT {K}, upto, list(CASE WHEN size >= 5 THEN size - alike / size END ORDER BY start) AS costs
+    FROM (SELECT a.equipment_category, a.equipment_id, a.g AS start, b.g AS upto, any_value(b.pos - a.pos) AS size, sum(alike) AS alike
+      FROM p_grid a JOIN p_grid b USING ({K}) JOIN p_blocks x USING ({K})
+      WHERE a.g < b.g AND one >= a.g AND one < b.g AND two >= a.g AND two < b.g GROUP BY ALL) GROUP BY {K}, upto""")
+cte("p_search", "p_units p_ends", f"""SELECT {K}, 0::BIGINT AS upto, [0.0::DOUBLE] AS best, [0::BIGINT] AS came FROM p_units
+    UNION ALL
+    SELECT {K}, upto, list_append(best, list_min(prices)), list_append(came, list_position(prices, list_min(prices))::BIGINT - 1)
+    FROM (SELECT {K}, e.upto, best, came,
+        list_transform(costs, lambda c, i: coalesce(best[i] + c + 5, 1e300)) AS prices
+      FROM p_search s JOIN p_ends e USING ({K}) WHERE e.upto = s.upto + 1)""", recursive=True)
+cte("p_back", "p_search", f"""SELECT {K}, came, came[upto + 1] AS spot FROM
+      (SELECT *, max(upto) OVER (PARTITION BY {K}) AS last FROM p_search) WHERE upto = last
+    UNION ALL SELECT {K}, came, came[spot + 1] FROM p_back WHERE spot > 0""", recursive=True)
+cte("p_scan", "p_series p_back", f"""SELECT s.*, coalesce(ratio >= 1, false) AS confirmed, spot IS NOT NULL AS is_change
+    FROM ({shift_ratio('p_series')}) s LEFT JOIN (SELECT {K}, spot, spot * 5 AS position FROM p_back WHERE spot > 0)
+    USING ({K}, position)""")
+cte("p_changes", "p_scan", change_rows("p_scan"))
+oracle("p1_planted_breaks", "p_changes", f"""SELECT {K}, change_date, before_mean, after_mean, absolute_change,
+    percentage_change, change_direction, confidence, 'PENDING_REVIEW' AS review_status FROM p_changes""",
+       "before_mean after_mean absolute_change percentage_change")
 oracle("p2_segment_statistics", "changes", f"""SELECT {K}, change_date, before_mean, after_mean, before_std, after_std,
     absolute_change, percentage_change, n_obs_before, n_obs_after FROM changes""",
        "before_mean after_mean before_std after_std absolute_change percentage_change")

@@ -393,6 +393,11 @@ def p1_kernel_change_points(spark, d):
     return shown(changepoint.change_points(clean_lines(spark, d)))
 
 
+@query
+def p1_planted_breaks(spark, d):
+    return shown(changepoint.change_points(cleaning.clean(b.planted_ledger(spark, d))))
+
+
 @query
 def p2_segment_statistics(spark, d):
     marked = changepoint.mean_shift_scan(changepoint.unit_series(clean_lines(spark, d)))
