@@ -64,6 +64,7 @@ class LedgerConfig:
     backtest_days: int = 60
     tree_bins: int = 255
     boosting_leaf_rows: int = 20
+    series_bins: int = 64
     training_cutoff: str = "2025-12-31"
     # scenarios
     price_per_unit: float = 6800.0

@@ -117,12 +117,12 @@ def forecast_path(series: DataFrame, horizon: int, model: str, cfg: LedgerConfig
     """Recursive forecast by model name."""
     if model in BASELINES:
         return baseline_path(series, horizon, model)
-    from ledgerlens.operators import learned, smoothing
+    from ledgerlens.operators import smoothing, trees
 
     models: dict[str, Callable] = {
         "holt_winters": smoothing.holt_winters_path,
-        "random_forest": learned.learned_path,
-        "hist_gradient_boosting": learned.learned_path,
+        "random_forest": trees.path,
+        "hist_gradient_boosting": trees.path,
     }
     if model not in models:
         raise ValueError(f"unknown model: {model}; known: {list(fv.FORECAST_MODELS)}")
@@ -147,9 +147,9 @@ def one_step_forecasts(series: DataFrame, model: str, cfg: LedgerConfig = DEFAUL
                 "moving_average_7": mean(7), "moving_average_30": mean(30)}[model]
         tested = rows.withColumn("forecast_fuel", step).where("evaluated")
     else:
-        from ledgerlens.operators import learned, smoothing
+        from ledgerlens.operators import smoothing, trees
 
-        walk = smoothing.walk_forward if model == "holt_winters" else learned.walk_forward
+        walk = smoothing.walk_forward if model == "holt_winters" else trees.walk_forward
         tested = walk(rows, model, cfg)
     return tested.select(KEY, DATE, F.col("y").alias("actual_fuel"), "forecast_fuel")
 

@@ -1,7 +1,8 @@
-"""Isolation forest per category (Liu, Ting & Zhou 2008), fitted on bounded samples, scored at scale.
+"""Isolation forest per category (Liu, Ting & Zhou 2008): every tree draws its own points and is grown in a task of its own.
 
-The forest needs only trees x sample rows per category, so the fit reads a hash sample of that size
-(sub-sampling is part of the method). Every row is then scored where it lies, with the forests broadcast,
+A row has a place in the order of each tree, a fixed function of its key and the tree. A tree takes the rows that come first in its
+order, `forest_sample` of them, or all of a smaller category; so the draw is the same rule at every size, and what moves are
+little more than the points of the trees. Every row is then scored where it lies, with the forests broadcast,
 as long as their measured bytes allow it. Beyond that the rows of a category are split over as many tasks
 as its size asks for, and each task meets the category's trees by cogrouping; the scores are the same.
 """
@@ -26,6 +27,8 @@ LEAST_ROWS_PER_TASK = 10_000
 # Forests of all categories together are broadcast up to this size, about 40 categories of 200 trees.
 BROADCAST_BYTES = 64 << 20
 
+# Places in a tree's order, a prime below 2^31, so that products stay within 64 bits.
+PLACES = (1 << 31) - 1
 # One tree as arrays in heap order: node i has the children 2i + 1 and 2i + 2; a leaf has feature -1.
 FOREST = f"{CATEGORY} string, tree int, sample int, feature array<int>, cut array<double>, size array<int>"
 
@@ -37,25 +40,21 @@ def _path_left(n) -> np.ndarray:
     return np.where(n > 2, 2 * harmonic - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def _grow(x: np.ndarray, rng: np.random.Generator, n_trees: int, size: int) -> list[dict]:
-    """All trees of a forest, level by level.
+def _grow(x: np.ndarray, rng: np.random.Generator) -> dict:
+    """A tree over all points given, level by level.
 
-    Every tree gets its own sample. A node splits a random feature that varies in it at a random place,
-    until points are alone or alike or the depth log2(sample) is reached.
+    A node splits a random feature that varies in it at a random place, until points are alone or alike or the
+    depth log2(points) is reached.
     """
-    picks = np.array([rng.choice(len(x), size, replace=False) for _ in range(n_trees)])
-    depth = int(np.ceil(np.log2(max(size, 2))))
+    depth = int(np.ceil(np.log2(max(len(x), 2))))
     n_nodes, n_features = 2 ** (depth + 1) - 1, x.shape[1]
-    feature, place = np.full(n_trees * n_nodes, -1), np.zeros(n_trees * n_nodes)
-    held = np.zeros(n_trees * n_nodes, dtype=int)
-    point, tree = picks.ravel(), np.repeat(np.arange(n_trees), size)
-    node = np.zeros(len(point), dtype=int)
+    feature, place, held = np.full(n_nodes, -1), np.zeros(n_nodes), np.zeros(n_nodes, dtype=int)
+    point, node = np.arange(len(x)), np.zeros(len(x), dtype=int)
     for level in range(depth + 1):
-        spot = tree * n_nodes + node
-        held += np.bincount(spot, minlength=len(held))
+        held += np.bincount(node, minlength=n_nodes)
         if level == depth or len(point) == 0:
             break
-        here, index = np.unique(spot, return_inverse=True)
+        here, index = np.unique(node, return_inverse=True)
         low, high = np.full((n_features, len(here)), np.inf), np.full((n_features, len(here)), -np.inf)
         for f in range(n_features):
             np.minimum.at(low[f], index, x[point, f])
@@ -66,11 +65,9 @@ def _grow(x: np.ndarray, rng: np.random.Generator, n_trees: int, size: int) -> l
         feature[here] = np.where(split, chosen, -1)
         place[here] = low[chosen, at] + rng.random(len(here)) * (high - low)[chosen, at]
         go = split[index]
-        point, tree, node, spot = point[go], tree[go], node[go], spot[go]
-        node = 2 * node + 1 + (x[point, feature[spot]] > place[spot])
-    shape = (n_trees, n_nodes)
-    return [{"tree": i, "sample": size, "feature": f, "cut": p, "size": h}
-            for i, (f, p, h) in enumerate(zip(feature.reshape(shape), place.reshape(shape), held.reshape(shape)))]
+        point, node = point[go], node[go]
+        node = 2 * node + 1 + (x[point, feature[node]] > place[node])
+    return {"sample": len(x), "feature": feature, "cut": place, "size": held}
 
 
 def _depths(x: np.ndarray, feature: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -85,21 +82,31 @@ def _depths(x: np.ndarray, feature: np.ndarray, place: np.ndarray, size: np.ndar
     return depth + _path_left(size[node])
 
 
+def drawn_points(rows: DataFrame, sizes: DataFrame, cfg: LedgerConfig = DEFAULT) -> DataFrame:
+    """(category, tree, place, key, features): rows that may be among the first of a tree's order, so many that
+    too few come along for about one tree in 10^14."""
+    factors = np.random.default_rng(cfg.seed).integers(1, PLACES, size=(cfg.forest_trees, 2)).tolist()
+    share = (cfg.forest_sample + 10 * cfg.forest_sample ** 0.5) / F.col("n_rows")
+    last = F.ceil(F.least(share, F.lit(1.0)) * PLACES)
+    base = F.pmod(F.xxhash64(CATEGORY, UNIT, DATE), F.lit(PLACES))
+    places = [(F.col("_base") * a + b) % PLACES for a, b in factors]
+    trees = F.array_compact(F.array(*[F.when(place < F.col("_last"), F.struct(F.lit(tree).alias("tree"), place.alias("place")))
+                                      for tree, place in enumerate(places)]))
+    return (join_measured(rows, sizes, CATEGORY, "inner").withColumns({"_base": base, "_last": last})
+            .select(CATEGORY, UNIT, DATE, *FEATURES, F.inline(trees)))
+
+
 def fit_forest(rows: DataFrame, sizes: DataFrame, cfg: LedgerConfig = DEFAULT) -> DataFrame:
-    """Trees per category from a hash sample of about trees x sample rows."""
-    pool = cfg.forest_trees * cfg.forest_sample
-    draw = F.pmod(F.xxhash64(CATEGORY, UNIT, DATE), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = (join_measured(rows, sizes, CATEGORY, "inner")
-              .where(draw * F.col("n_rows") <= pool).select(CATEGORY, *FEATURES))
-    n_trees, per_tree, seed = cfg.forest_trees, cfg.forest_sample, cfg.seed
+    """The trees of each category, one group per tree."""
+    size, seed = cfg.forest_sample, cfg.seed
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(FEATURES, kind="mergesort")
-        x = part[FEATURES].to_numpy(float)
-        trees = _grow(x, np.random.default_rng(seed), n_trees, min(per_tree, len(x)))
-        return pd.DataFrame(trees).assign(**{CATEGORY: part[CATEGORY].iloc[0]})
+        part = part.sort_values(["place", UNIT, DATE]).head(size)
+        tree = _grow(part[FEATURES].to_numpy(float), np.random.default_rng([seed, part["tree"].iloc[0]]))
+        return pd.DataFrame([{CATEGORY: part[CATEGORY].iloc[0], "tree": part["tree"].iloc[0], **tree}])
 
-    return spread(sample, CATEGORY).groupBy(CATEGORY).applyInPandas(fit, FOREST)
+    points = spread(drawn_points(rows, sizes, cfg), CATEGORY, "tree")
+    return points.groupBy(CATEGORY, "tree").applyInPandas(fit, FOREST)
 
 
 def _score(x: np.ndarray, trees: list) -> np.ndarray:

@@ -1,4 +1,7 @@
-"""Tree ensembles over the feature matrix: one model learned across all series with Spark ML."""
+"""Tree ensembles over the feature matrix: one model learned across all series with Spark ML.
+
+`trees` fits each series on its own, as forecasts by name and backtests do; this is for series that are to share a model.
+"""
 
 from __future__ import annotations
 

@@ -48,6 +48,12 @@ def events_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
                    "events", F.col("event_id"))
 
 
+def spiked_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lines_ledger with forty times the quantity in the first lines of one order in 101."""
+    spike = (F.floor(F.col("source_row") / 10) % 101 == 0) & (F.col("source_row") % 10 == 1)
+    return lines_ledger(spark, sf_dir).withColumn(AMOUNT, F.col(AMOUNT) * F.when(spike, 40).otherwise(1))
+
+
 def planted_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem: monthly quantity per supplier, ten times as much from a month on that depends on the supplier."""
     month = F.trunc(F.to_date("l_shipdate"), "MM")

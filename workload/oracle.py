@@ -85,6 +85,8 @@ cte("classed", "cells", f"""SELECT *,
     FROM (SELECT *, upper(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS word FROM cells)""")
 cte("mixed", "classed", ledger("date", "equipment_category", "equipment_id", "amount", "cells", "event_id", "classed",
                                "CASE WHEN word <> '' AND amount IS NULL THEN word END"))
+cte("spiked", "lines", """SELECT * REPLACE (CASE WHEN source_row // 10 % 101 = 0 AND source_row % 10 = 1
+    THEN fuel_liter * 40 ELSE fuel_liter END AS fuel_liter) FROM lines""")
 cte("planted", "", ledger("month", "CAST(l_suppkey % 3 AS VARCHAR)", "CAST(l_suppkey AS VARCHAR)",
                           "CASE WHEN number >= 20 + l_suppkey % 40 THEN used * 10 ELSE used END", "planted",
                           "l_suppkey * 1000 + number", """(SELECT *, year(month) * 12 + month(month) - 1995 * 12 AS number FROM (
@@ -115,7 +117,7 @@ def cleaned(source: str) -> str:
         FROM {source}_std s LEFT JOIN {source}_lim l ON s.equipment_category = l.equipment_category))"""
 
 
-for _source in ("lines", "supp", "ev", "mixed", "sales", "planted"):
+for _source in ("lines", "supp", "ev", "mixed", "sales", "planted", "spiked"):
     cte(f"{_source}_std", _source, f"""SELECT * REPLACE (trim(regexp_replace(split_part(equipment_id, '/', 1),
         '\\s+', ' ', 'g')) AS equipment_id) FROM {_source}""")
     cte(f"{_source}_lim", f"{_source}_std", limits(f"{_source}_std"))
@@ -385,6 +387,16 @@ for _source in ("lines", "ev"):
     cte(f"{_source}_feat", f"{_source}_used", feature(_source))
     cte(f"{_source}_report", f"{_source}_feat", report(_source))
 
+cte("spiked_feat", "spiked_used", feature("spiked"))
+# 30 complete rows make a forest.
+oracle("a2_planted_outliers", "spiked_feat", f"""SELECT {K}, date, fuel_liter, true AS found FROM
+    (SELECT *, count(*) OVER (PARTITION BY equipment_category) AS n FROM spiked_feat
+     WHERE sufficient AND deviation_from_category_median IS NOT NULL)
+    WHERE n >= 30 AND source_row // 10 % 101 = 0 AND source_row % 10 = 1""")
+oracle("a2_contamination_share", "lines_feat", """SELECT equipment_category, CASE WHEN n >= 30 THEN n ELSE 0 END AS n_scored,
+    true AS at_share FROM (SELECT equipment_category, count(*) FILTER (sufficient AND deviation_from_category_median IS NOT NULL) AS n
+    FROM lines_feat GROUP BY 1)""")
+
 FEATURES = {
     "w1_lags": "lag_1 lag_7", "w2_changes": "difference_1 percentage_change",
     "w3_trailing_means": "rolling_mean_7 rolling_mean_14 rolling_mean_30", "w4_trailing_median": "rolling_median_7",
@@ -740,6 +752,18 @@ oracle("f3_feature_matrix", "flags", f"""SELECT *, CAST(isodow(date) - 1 AS INTE
     CAST(month(date) AS INTEGER) AS month, CAST(isodow(date) >= 6 AS INTEGER) AS is_weekend, {_lags}, {_means}, {_stds}
     FROM flags""", "y lag_1 lag_2 lag_3 lag_7 lag_14 lag_30 rolling_mean_3 rolling_mean_7 rolling_mean_14 rolling_mean_30 "
                    "rolling_std_7 rolling_std_30")
+cte("learnt", "flags", f"""SELECT * FROM (SELECT *, {_lags}, {_means}, {_stds} FROM flags) WHERE y IS NOT NULL AND lag_1 IS NOT NULL
+    AND lag_2 IS NOT NULL AND lag_3 IS NOT NULL AND lag_7 IS NOT NULL AND lag_14 IS NOT NULL AND lag_30 IS NOT NULL
+    AND rolling_mean_30 IS NOT NULL AND rolling_std_30 IS NOT NULL""")
+cte("asked", "flags", """SELECT series_key, date, y FROM (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY date) AS pos,
+      count(*) OVER (PARTITION BY series_key) AS n FROM flags)
+    WHERE pos > n - CASE WHEN n < 100 THEN greatest(10, n - 40) ELSE 60 END""")
+oracle("f8_boosting_origins", "learnt asked", """SELECT a.series_key, a.date, any_value(a.y) AS y, count(l.date) AS n_learned,
+    count(l.date) >= 40 AS forecast FROM asked a LEFT JOIN learnt l ON a.series_key = l.series_key AND l.date < a.date
+    GROUP BY 1, 2""", "y")
+for _name in ("f5_boosting_nodes", "f5_forest_nodes"):
+    oracle(_name, "learnt", """SELECT series_key, date, y, true AS better_than_mean FROM
+        (SELECT *, count(*) OVER (PARTITION BY series_key) AS n FROM learnt) WHERE n >= 40""", "y")
 cte("ends", "flags", "SELECT series_key, max(date) AS last_date FROM flags GROUP BY 1")
 
 

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerlens import fixed_values as fv
 from ledgerlens.functions.text import cell_value, match_key, sheet_month, sheet_year, split_unit, unit_name
 from ledgerlens.operators import (anomaly, changepoint, cleaning, explore, features, forecast, health, isolation,
-                                  learned, monitoring, quality, recommend, reconcile, scenarios, segments)
+                                  monitoring, quality, recommend, reconcile, scenarios, segments, trees)
 from ledgerlens.plans import full_run
 from ledgerlens.schema import AMOUNT, CATEGORY, DATE, FORECAST_COLUMNS, UNIT, UNIT_KEY
 from ledgerlens.scratch import cut, new_path, stored
@@ -350,6 +351,25 @@ def a2_isolation_forest(spark, d):
     return shown(rows.select(*UNIT_KEY, DATE, "isolation_score"))
 
 
+@query
+def a2_planted_outliers(spark, d):
+    """Whether each planted outlier lies beyond the share of its category that is anomalous."""
+    rows = isolation.isolation_scores(features.unit_features(stored(cleaning.clean(b.spiked_ledger(spark, d)))))
+    planted = (F.floor(F.col("source_row") / 10) % 101 == 0) & (F.col("source_row") % 10 == 1)
+    return rows.where(planted & F.col("isolation_score").isNotNull()).select(
+        *UNIT_KEY, DATE, AMOUNT, (F.col("isolation_score") < 0).alias("found"))
+
+
+@query
+def a2_contamination_share(spark, d):
+    """Rows scored per category, and whether the zero point lies at the wanted share of them."""
+    rows = isolation.isolation_scores(features.unit_features(kept_lines(spark, d)))
+    rank = F.ceil(F.count("isolation_score").cast("double") * 0.03 - 0.03)
+    return rows.groupBy(CATEGORY).agg(
+        F.count("isolation_score").alias("n_scored"),
+        ((F.count_if(F.col("isolation_score") < 0) <= rank) & (F.count_if(F.col("isolation_score") <= 0) >= rank)).alias("at_share"))
+
+
 @query
 def a3_severity(spark, d):
     return lines_report(spark, d).select(*UNIT_KEY, DATE, "severity")
@@ -658,8 +678,36 @@ def f8_backtest_holt_winters(spark, d):
 
 @query
 def f8_backtest_boosting(spark, d):
-    rows = forecast.backtest_rows(flag_series(spark, d))
-    return shown(learned.walk_forward(rows, "hist_gradient_boosting"))
+    return shown(forecast.backtest(flag_series(spark, d), "hist_gradient_boosting"))
+
+
+@query
+def f8_boosting_origins(spark, d):
+    """Every tested day has a model of its own: the days that it learned from, and whether it gave a forecast."""
+    tested = trees.walk_forward(forecast.backtest_rows(flag_series(spark, d)), "hist_gradient_boosting")
+    return shown(tested.select("series_key", DATE, "y", "n_learned", F.col("forecast_fuel").isNotNull().alias("forecast")))
+
+
+def same_by_nodes(spark, d, model):
+    """All complete days, walked through the table of nodes by joins, and whether that is nearer to them than their mean."""
+    series = stored(flag_series(spark, d))
+    nodes = stored(trees.node_table(series, model))
+    found = trees.walked(series, nodes, model)
+    mean = F.avg("y").over(Window.partitionBy("series_key"))
+    found = found.withColumn("mean", mean)
+    fit = Window.partitionBy("series_key")
+    better = (F.sum(F.pow(F.col("y") - F.col("forecast_fuel"), 2)).over(fit) < F.sum(F.pow(F.col("y") - F.col("mean"), 2)).over(fit))
+    return found.select("series_key", DATE, "y", better.alias("better_than_mean"))
+
+
+@query
+def f5_boosting_nodes(spark, d):
+    return shown(same_by_nodes(spark, d, "hist_gradient_boosting"))
+
+
+@query
+def f5_forest_nodes(spark, d):
+    return shown(same_by_nodes(spark, d, "random_forest"))
 
 
 @query
