@@ -16,7 +16,7 @@ All pairs are verified on their whole sets, so the result is exact; a cell never
 
 Defined results: A-Z are lowered; a null or empty text, or one of white space alone, has no set and no links; fewer words
 than a shingle count as one shingle; documents with equal sets are linked; rows with equal doc_id are documents each, in one
-component if their sets are equal; a null doc_id gives the component the smallest doc_id that is known, or null; other
+component if their sets are equal (`keep_first` judges rows, not ids); a null doc_id gives the component the smallest doc_id that is known, or null; other
 columns are not read.
 """
 
@@ -72,11 +72,11 @@ def fingerprint(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
 
 
-MEMBERS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.int64())])
+MEMBERS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.int64()), ("row", pa.int64())])
 
 
-def members(docs: DataFrame, words: int) -> DataFrame:
-    """The size and the hash of every document's set; no hash where the set is empty."""
+def members(docs: DataFrame, words: int, row: Column) -> DataFrame:
+    """The size and the hash of every document's set, and a key of its row; no hash where the set is empty."""
     def run(batches):
         own = kept(("shingles", words), lambda: Shingler(words))
         for b in batches:
@@ -84,10 +84,10 @@ def members(docs: DataFrame, words: int) -> DataFrame:
             for lo, hi in slices([len(t) for t in texts], SLICE):
                 sets = own.sets(texts[lo:hi])
                 yield batch(MEMBERS, b.column(0).slice(lo, hi - lo), [len(s) for s in sets],
-                            [fingerprint(s) if len(s) else None for s in sets])
+                            [fingerprint(s) if len(s) else None for s in sets], b.column(2).slice(lo, hi - lo))
 
-    return (docs.select(F.col("doc_id").cast("long"), "text")
-            .mapInArrow(run, "doc_id long, n_shingles long, fp long"))
+    return (docs.select(F.col("doc_id").cast("long"), "text", row.cast("long"))
+            .mapInArrow(run, "doc_id long, n_shingles long, fp long, row long"))
 
 
 BLOCKS = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("of", pa.binary()), ("fps", pa.binary()), ("sizes", pa.binary())])
@@ -235,23 +235,44 @@ def set_links(sets: DataFrame, similarity: int) -> DataFrame:
     return out
 
 
-def join(docs: DataFrame, words: int = 4, similarity: int = 85) -> DataFrame:
-    """Per document: the size of its set, and its component, the smallest doc_id that links reach."""
-    each = stored(members(docs, words), "members")
+def rooted(docs: DataFrame, words: int, similarity: int, row: Column) -> DataFrame:
+    """(doc_id, n_shingles, row, root) of every document; equal roots are one component, an empty set has none."""
+    each = stored(members(docs, words, row), "members")
     sets = stored(shared_shingles(docs, words, similarity).groupBy("fp").agg(
         F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "key"))).alias("rare"))
         # Where too many shingles are the set's own, no cell holds it.
         .where(F.col("n") - F.size("rare") < F.col("n") - F.ceil(F.col("n") * similarity / 100) + 1), "sets")
     roots = stored(components(set_links(sets, similarity)), "roots")
-    rooted = stored(each.join(roots, each.fp == roots.node, "left")
-                    .select("doc_id", "n_shingles", F.coalesce("root", "fp").alias("root")), "rooted")
-    least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return (rooted.join(stored(least, "least"), "root", "left")
+    return stored(each.join(roots, each.fp == roots.node, "left")
+                  .select("doc_id", "n_shingles", "row", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
+def join(docs: DataFrame, words: int = 4, similarity: int = 85) -> DataFrame:
+    """Per document: the size of its set, and its component, the smallest doc_id that links reach."""
+    found = rooted(docs, words, similarity, F.lit(None))
+    least = found.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    return (found.join(stored(least, "least"), "root", "left")
             .select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least"))
                     .alias("component_id")))
 
 
 def keep_first(docs: DataFrame, words: int = 4, similarity: int = 85) -> DataFrame:
-    """The documents without those that belong to the component of a smaller doc_id; all columns are kept."""
-    gone = stored(join(docs, words, similarity).where("component_id < doc_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component, and all rows without a set; all columns are kept.
+
+    The row with the smallest doc_id stays, a missing one being the last, and of several the one with the smallest hash of
+    all its columns. Of rows that are alike in every column one stays. Rows are told apart by that hash and doc_id, so two
+    documents with the same doc_id, or without one, are judged each.
+    """
+    row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    found = rooted(docs, words, similarity, row).where("root is not null")
+    first = stored(found.groupBy("root").agg(F.min(order).alias("first")), "first")
+    judged = found.withColumn("own", order).join(first, "root").select(
+        F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("row").alias("_row"), (F.col("own") == F.col("first")).alias("_stays"))
+    # A key that stays more than once stands for rows that are alike.
+    verdict = stored(judged.groupBy("_id", "_row").agg(F.max("_stays").alias("_stays"), F.count("*").alias("_times"))
+                     .where("not _stays or _times > 1"), "verdicts")
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_row": row})
+    marked = keyed.join(verdict, ["_id", "_row"], "left").where("coalesce(_stays, true)")
+    once = marked.where("_times is null").select(*docs.columns)
+    return once.unionByName(marked.where("_times is not null").select(*docs.columns).dropDuplicates())

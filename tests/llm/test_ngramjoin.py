@@ -87,3 +87,27 @@ def test_components_of_long_paths_and_hubs(spark):
 def test_query_over_a_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     check(queries.op9_ngram_jaccard_join(spark, SMALL).collect(), rows)
+
+
+def test_one_row_of_each_group_stays(documents):
+    text, near, other = (" ".join(f"{c}{i}" for i in range(60)) for c in ("a", "a", "b"))
+    near = near.replace("a59", "z")
+    rows = [(5, text), (5, text), (3, near), (3, other), (None, text), (None, "lone " + other[::-1]), (None, other), (7, ""), (7, ""),
+            (8, None), (9, other, "b"), (2, "q " * 80), (2, "q " * 80), (2, "q " * 80, "b")]
+    out = ngramjoin.keep_first(documents(rows).withColumnRenamed("lang", "row").withColumnRenamed("n_chars", "root"))
+    assert out.columns == ["doc_id", "text", "row", "source", "root"]
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    # Of the copies of `text` the near one has the smallest id; `other` stays where its id is smallest.
+    assert got == sorted([(3, near), (3, other), (None, "lone " + other[::-1]), (7, ""), (7, ""), (8, None), (2, "q " * 80)], key=str)
+    unknown = ngramjoin.keep_first(documents([(None, text), (None, text), (None, near)])).collect()
+    assert len(unknown) == 1 and unknown[0].text in (text, near)
+    assert ngramjoin.keep_first(documents([])).count() == 0
+
+
+def test_a_shingle_in_a_third_of_all_documents(documents):
+    draw = random.Random(11)
+    common = " ".join(f"licence{i}" for i in range(20))
+    rows = [(i, " ".join(f"u{draw.randint(0, 400)}" for _ in range(draw.randint(20, 60))) + (f" {common}" if i % 3 == 0 else ""))
+            for i in range(300)]
+    rows += [(1000 + i, rows[3 * i][1]) for i in range(20)]
+    check(ngramjoin.join(documents(rows)).collect(), rows)
