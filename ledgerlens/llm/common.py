@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,7 @@ from ledgerlens.scratch import shared_dir
 
 # What counts as white space between words everywhere in this package.
 WORD = "[^\\x20\\x09-\\x0D]+"
+CLEANUP = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.shuffleDependency.fileCleanup.enabled")
 SPACES = b" \t\n\x0b\x0c\r"
 
 
@@ -43,10 +44,17 @@ def drop(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver collect its garbage, so that shuffle files of steps whose results are stored go now, not some time later."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def shuffles_go(spark: SparkSession):
+    """Within this, Spark deletes the shuffle files of a query when it has ended; for steps whose results are stored."""
+    before = {key: spark.conf.get(key, None) for key in CLEANUP}
+    for key in CLEANUP:
+        spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def partitions(spark: SparkSession) -> int:
