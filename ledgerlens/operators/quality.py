@@ -12,12 +12,22 @@ from ledgerlens.operators.cleaning import dated
 from ledgerlens.schema import CATEGORY, DATE, UNIT, UNIT_KEY
 
 
+def missing_runs(cleaned: DataFrame) -> DataFrame:
+    """Runs of calendar days on which no row at all was recorded, from each recorded day and the next one.
+
+    One row per run, however long it is, so a date that is far off costs nothing; recorded days are bounded by the calendar.
+    """
+    following = F.lead(DATE).over(Window.orderBy(DATE))
+    days = dated(cleaned).select(DATE).distinct().withColumn("following", following)
+    return days.where(F.datediff("following", DATE) > 1).select(
+        F.date_add(DATE, 1).alias("first_day"), F.date_sub("following", 1).alias("last_day"),
+        (F.datediff("following", DATE) - 1).alias("n_days"))
+
+
 def missing_days(cleaned: DataFrame) -> DataFrame:
     """Calendar days between the first and last day on which no row at all was recorded."""
-    days = dated(cleaned).select(DATE).distinct()
-    span = days.agg(F.min(DATE).alias("low"), F.max(DATE).alias("high")).where("low IS NOT NULL")
-    calendar = span.select(F.explode(F.sequence("low", "high")).alias(DATE))
-    return calendar.join(days, DATE, "left_anti").withColumn("issue", F.lit(fv.MISSING_DAY))
+    days = F.explode(F.sequence("first_day", "last_day")).alias(DATE)
+    return missing_runs(cleaned).select(days).withColumn("issue", F.lit(fv.MISSING_DAY))
 
 
 def longest_gaps(cleaned: DataFrame, cfg: LedgerConfig = DEFAULT) -> DataFrame:

@@ -63,10 +63,27 @@ def find_sections(cells: DataFrame) -> DataFrame:
             .where("title_row + 1 < end_row").select(*SECTION, "label", "end_row", "year", "month"))
 
 
+def placed(cells: DataFrame, sections: DataFrame) -> DataFrame:
+    """Cells with the section whose rows hold them, from its title to the row before `end_row`.
+
+    The sections of a sheet are one short list of intervals that a cell is looked up in, so no cell meets all of them.
+    """
+    own = F.struct(*[c for c in sections.columns if c not in SHEET])
+    lists = sections.groupBy(*SHEET).agg(F.collect_list(own).alias("_sections"))
+    holds = F.filter("_sections", lambda s: (s["title_row"] <= F.col("row")) & (F.col("row") < s["end_row"]))
+    return cells.join(lists, SHEET).withColumn("_section", F.get(holds, F.lit(0))).where("_section IS NOT NULL").select(
+        *cells.columns, "_section.*")
+
+
+def section_intervals(cells: DataFrame, sections: DataFrame) -> DataFrame:
+    """Every section as an interval of rows, with its filled cells."""
+    return placed(cells, sections).groupBy(*SECTION, "label", "end_row", "year", "month").agg(
+        F.count("text").alias("n_cells"))
+
+
 def _in_section(cells: DataFrame, sections: DataFrame) -> DataFrame:
     """Cells below the header of a section."""
-    inside = (F.col("row") > F.col("title_row") + 1) & (F.col("row") < F.col("end_row"))
-    return cells.join(sections, SHEET).where(inside)
+    return placed(cells, sections).where("row > title_row + 1")
 
 
 def header_days(cells: DataFrame, sections: DataFrame) -> DataFrame:

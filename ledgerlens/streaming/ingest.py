@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -39,20 +39,48 @@ def daily_totals(stream: DataFrame, time: str = "ts", delay: str = "1 day") -> D
             .select(F.to_date(F.col("window.start")).alias(DATE), CATEGORY, AMOUNT, "n_records"))
 
 
+# A version is the generation of its checkpoint, and below it the number of the batch.
+BATCH_BITS = 40
+
+
+def _names(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    """Numbers of the files or folders `prefix<number>` in a folder, if there is one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+    return [int(name.removeprefix(prefix)) for name in found if name.startswith(prefix)]
+
+
+def _mark(spark: SparkSession, checkpoint: str, generation: int) -> int:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/generation-{generation}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True).close()
+    return generation
+
+
+def _generation(spark: SparkSession, path: str, checkpoint: str) -> int:
+    """The generation of a checkpoint; a new checkpoint comes after all that is stored."""
+    known = _names(spark, checkpoint, "generation-")
+    if known:
+        return max(known)
+    return _mark(spark, checkpoint, max([v >> BATCH_BITS for v in _names(spark, path, "version=")], default=-1) + 1)
+
+
 def maintain_totals(stream: DataFrame, path: str, checkpoint: str, time: str = "ts", delay: str = "1 day",
                     final: bool = False) -> StreamingQuery:
     """Keep the daily totals in a table.
 
     By default each batch writes the totals it changed as its own version and `current_totals` reads the
-    newest per day; with `final` a day is appended once, when the watermark has passed it.
+    newest per day; with `final` a day is appended once, when the watermark has passed it. A batch that is run again
+    writes the same version again; the versions of a new checkpoint are newer than all that are there.
     """
     totals = daily_totals(stream, time, delay)
     if final:
         return (totals.writeStream.format("parquet").outputMode("append").option("path", path)
                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    first = _generation(stream.sparkSession, path, checkpoint) << BATCH_BITS
 
-    def keep(batch: DataFrame, version: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/version={version}")
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/version={first + number}")
 
     return (totals.writeStream.outputMode("update").foreachBatch(keep)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
@@ -64,6 +92,20 @@ def current_totals(versions: DataFrame) -> DataFrame:
     return versions.groupBy(DATE, CATEGORY).agg(newest.alias("t")).select(DATE, CATEGORY, "t.*")
 
 
+def compact_totals(spark: SparkSession, path: str, checkpoint: str) -> None:
+    """Put the current totals in place of all versions; runs while no stream writes.
+
+    The checkpoint's next generation is marked first, so that wherever this ends, later batches are newer than what is there.
+    """
+    generation = _generation(spark, path, checkpoint)
+    old = _names(spark, path, "version=")
+    _mark(spark, checkpoint, generation + 2)
+    current_totals(spark.read.parquet(path)).write.mode("overwrite").parquet(f"{path}/version={generation + 1 << BATCH_BITS}")
+    for version in old:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={version}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def score_arriving(stream: DataFrame, limits: DataFrame, medians: DataFrame,
                    cfg: LedgerConfig = DEFAULT) -> DataFrame:
     """Row status and peer deviation against the last published category limits and medians.

@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 
 import numpy as np
@@ -163,3 +164,14 @@ def test_total_counts_categories_that_are_not_listed(ledger):
     rows = cleaning.clean(ledger([("2025-03-01", "A", "u", 1), ("2025-03-02", "B", "v", 10), ("2025-04-02", "B", "v", 7)]))
     got = {r.period_label: (r.A, r.TOTAL) for r in explore.month_category_pivot(rows, ["A"]).collect()}
     assert got == {"2025-03": (1.0, 11.0), "2025-04": (0.0, 7.0)}
+
+
+def test_a_far_date_costs_one_run(ledger):
+    rows = ledger([("2024-01-01", "A", "u", 1.0), ("2024-01-02", "A", "v", 1.0), ("2024-01-05", "A", "u", 2.0),
+                   ("9999-12-31", "A", "u", 3.0), (None, "A", "u", 4.0)])
+    got = [(str(r.first_day), str(r.last_day), r.n_days) for r in quality.missing_runs(cleaning.clean(rows)).orderBy("first_day").collect()]
+    assert got == [("2024-01-03", "2024-01-04", 2),
+                   ("2024-01-06", "9999-12-30", (dt.date(9999, 12, 31) - dt.date(2024, 1, 5)).days - 1)]
+    near = cleaning.clean(rows.where("year < 9999 OR date IS NULL"))
+    assert [str(r.date) for r in quality.missing_days(near).orderBy("date").collect()] == ["2024-01-03", "2024-01-04"]
+    assert quality.missing_runs(cleaning.clean(ledger([]))).count() == 0

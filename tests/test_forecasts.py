@@ -7,7 +7,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from ledgerlens.config import LedgerConfig
-from ledgerlens.operators import forecast, learned, monitoring, smoothing
+from ledgerlens.operators import forecast, learned, monitoring, smoothing, trees
 
 
 @pytest.fixture(scope="module")
@@ -157,20 +157,22 @@ def test_drift(spark):
     assert monitoring.latest_performance(performance).first().rolling_wape == 13.0
 
 
-def test_registered_backtest_of_boosting_refits_for_each_day(monkeypatch):
+def test_registered_backtest_of_boosting_refits_for_each_day(series, monkeypatch):
+    """The registered query walks with the boosting of `trees`, which learns from one more day at each tested day."""
     from workload import runs
 
-    asked = []
+    asked, walk = [], trees.walk_forward
 
-    def walk(rows, model, cfg=None, refit_every=1, learner=None):
-        asked.append((model, refit_every, learner))
+    def seen(rows, model, cfg=None):
+        asked.append(model)
+        return walk(rows, model, LedgerConfig() if cfg is None else cfg)
 
-    monkeypatch.setattr(runs, "flag_series", lambda spark, d: None)
-    monkeypatch.setattr(forecast, "backtest_rows", lambda series: None)
-    monkeypatch.setattr(runs, "shown", lambda rows: rows)
-    monkeypatch.setattr(learned, "walk_forward", walk)
-    runs.QUERIES["f8_backtest_boosting"](None, "")
-    assert asked == [("hist_gradient_boosting", 1, None)]
+    monkeypatch.setattr(runs, "flag_series", lambda spark, d: series(weekly(140, 2)))
+    monkeypatch.setattr(trees, "walk_forward", seen)
+    tested = runs.QUERIES["f8_backtest_boosting"](None, "").toPandas()
+    assert asked == ["hist_gradient_boosting"] and len(tested) == 60 and tested.forecast_fuel.notna().all()
+    learned_from = runs.QUERIES["f8_boosting_origins"](None, "").orderBy("date").toPandas().n_learned
+    assert (learned_from.diff()[1:] == 1).all()
 
 
 def test_targets_hold_every_series_and_model_choice_every_model(spark, monkeypatch):
@@ -186,3 +188,96 @@ def test_targets_hold_every_series_and_model_choice_every_model(spark, monkeypat
     monkeypatch.setattr(runs, "cut", lambda rows: rows)
     monkeypatch.setattr(forecast, "forecast_path", lambda rows, horizon, model: models.append(model) or rows)
     assert runs.f7_model_choice(spark, "").count() == 28 and len(set(models)) == 7
+
+
+def one_tree(x, target, rows, depth, leaf, bins):
+    """Features and bins of the inner nodes in heap order, by trying every split of every node."""
+    out = {}
+
+    def go(node, some, level):
+        out[node] = (-1, 0)
+        if level == depth:
+            return
+        best = 1e-9
+        for f in range(x.shape[1]):
+            for b in range(bins - 1):
+                left = some[x[some, f] <= b]
+                right = some[x[some, f] > b]
+                if len(left) >= leaf and len(right) >= leaf:
+                    gain = (target[left].sum() ** 2 / len(left) + target[right].sum() ** 2 / len(right)
+                            - target[some].sum() ** 2 / len(some))
+                    if gain > best + 1e-12:
+                        best, out[node] = gain, (f, b)
+        f, b = out[node]
+        inside = x[some, f] <= b if f >= 0 else np.ones(len(some), bool)
+        go(2 * node + 1, some[inside], level + 1)
+        go(2 * node + 2, some[~inside], level + 1)
+
+    go(0, rows, 0)
+    return out
+
+
+def test_grown_trees_take_the_best_split_of_every_node():
+    rng = np.random.default_rng(12)
+    x, y = rng.integers(0, 6, (80, 3)), rng.normal(size=80)
+    ends = np.array([40, 61, 80])
+    weight = (np.arange(80) < ends[:, None]).astype(float)
+    feature, cut_at, _ = trees.grow(x, np.repeat(y[None], 3, axis=0), weight, 3, 5, 6)
+    for model, end in enumerate(ends):
+        want = one_tree(x, y, np.arange(end), 3, 5, 6)
+        for node in range(7):
+            f = feature[model, node]
+            assert f == want[node][0] and (f < 0 or cut_at[model, node] == want[node][1])
+
+
+def test_every_origin_learns_from_its_own_days_alone(series):
+    """A change of later days does not change the forecast of a day."""
+    values = weekly(160, 3)
+    later = values.copy()
+    later[150:] += 500
+    rows = [forecast.backtest_rows(series(v), LedgerConfig(backtest_days=20)) for v in (values, later)]
+    one, other = (trees.walk_forward(r, "hist_gradient_boosting").orderBy("date").toPandas() for r in rows)
+    assert len(one) == 20 and one.forecast_fuel[:11].tolist() == other.forecast_fuel[:11].tolist()
+    assert (one.forecast_fuel[12:] != other.forecast_fuel[12:]).any() and one.n_learned.is_monotonic_increasing
+    assert np.abs(one.forecast_fuel - one.y).mean() < 15
+
+
+@pytest.mark.parametrize("model", ["hist_gradient_boosting", "random_forest"])
+def test_paths_follow_the_season_and_few_days_give_none(series, model):
+    ahead = forecast.forecast_path(series(weekly(200, 1)), 7, model).orderBy("step").toPandas()
+    want = weekly(207)[200:]
+    assert np.abs(ahead.forecast - want).max() < 15 and ahead.date.iloc[0] == dt.date(2023, 7, 20)
+    assert forecast.forecast_path(series(range(35)), 3, model).where("forecast IS NULL").count() == 3
+
+
+def test_node_tables_give_what_the_model_gives(spark):
+    rng = np.random.default_rng(13)
+    x, y = rng.integers(0, 8, (90, 4)), rng.normal(size=90)
+    known = trees.boost(x, y, np.array([90]))
+    total = np.full(90, known.start[0])
+    for feature, cut_at, value in zip(known.feature[0], known.cut[0], known.value[0]):
+        for i in range(90):
+            node = 0
+            for _ in range(6):
+                node = 2 * node + 1 + int(feature[node] >= 0 and x[i, feature[node]] > cut_at[node])
+            total[i] += value[node - 63]
+    assert np.allclose(known.predict(0, x), total) and np.var(y - total) < np.var(y)
+
+
+def test_estimated_starts_beat_the_first_weeks():
+    rng = np.random.default_rng(14)
+    t = np.arange(140)
+    y = 50 + 0.3 * t + np.tile([9, 0, -4, 3, -8, 2, -2], 20) + rng.normal(0, 1, 140)
+    y[:14] += rng.normal(0, 12, 14)
+    ends = np.array([100, 140])
+    found = smoothing.fit_states(y, ends)
+    for k, end in enumerate(ends):
+        weights = found["weights"][k][None, None]
+        given = (found["first_level"][k], found["first_trend"][k], found["first_season"][k])
+        loss = smoothing._run(y, ends[k:k + 1], weights, [given])[0][0, 0]
+        assert loss <= smoothing._run(y, ends[k:k + 1], weights, [smoothing._start(y[:end])])[0][0, 0] + 1e-9
+        best = smoothing._estimated(y, ends[k:k + 1], weights[0])[0]
+        least = smoothing._run(y, ends[k:k + 1], weights, [best])[0][0, 0]
+        for _ in range(20):  # no other start is better
+            other = (best[0] + rng.normal(), best[1] + rng.normal(0, .1), best[2] + rng.normal(size=7))
+            assert smoothing._run(y, ends[k:k + 1], weights, [other])[0][0, 0] >= least - 1e-9

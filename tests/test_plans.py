@@ -51,9 +51,10 @@ def normal(value):
 
 
 @pytest.mark.parametrize("name", [
-    "i8_grid_unpivot", "i10_control_totals", "c7_cleaned_ledger", "c8_unit_master", "d1_missing_days", "d3_quality_kpis",
-    "r4_reconciliation_summary", "a5_anomaly_report", "a7_peer_comparison", "p6_change_report", "h9_health_scores",
-    "g5_squared_silhouette", "f11_forecast_for_dates", "f17_rolling_performance", "n8_recommendations", "u6_month_category_pivot"])
+    "i8_grid_unpivot", "i10_control_totals", "c7_cleaned_ledger", "c8_unit_master", "i5_sections", "d1_missing_runs", "d3_quality_kpis",
+    "r4_reconciliation_summary", "a5_anomaly_report", "a7_peer_comparison", "p1_planted_breaks", "p6_change_report", "h9_health_scores",
+    "g4_nearest_centres", "g5_squared_silhouette", "f5_boosting_nodes", "f6_state_rerun", "f8_boosting_origins", "f11_forecast_for_dates", "f17_rolling_performance", "n8_recommendations", "u6_month_category_pivot",
+    "a2_planted_outliers", "a2_contamination_share", "o1_full_run"])
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
     for table in TABLES:

@@ -5,8 +5,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ledgerlens.config import LedgerConfig
-from ledgerlens.operators import anomaly, changepoint, features, health, isolation, segments
-from ledgerlens.scratch import cut
+from ledgerlens.operators import anomaly, changepoint, features, health, isolation, kmeans, segments
+from ledgerlens.scratch import cut, stored
 
 
 def by_date(df, *columns):
@@ -137,6 +137,18 @@ def test_actions_follow_priority(spark):
     assert got[3].startswith("Validasi") and got[4] == "Periksa log operasi"
 
 
+def test_each_tree_takes_its_own_points(daily):
+    rng = np.random.default_rng(11)
+    rows = features.unit_features(daily({("A", f"u{i}"): rng.normal(50, 9, 100) for i in range(8)})).where("lag_1 IS NOT NULL")
+    sizes = rows.groupBy("equipment_category").count().withColumnRenamed("count", "n_rows")
+    cfg = LedgerConfig(forest_trees=20, forest_sample=64)
+    drawn = isolation.drawn_points(rows, sizes, cfg).groupBy("tree").count().toPandas()
+    assert len(drawn) == 20 and drawn["count"].min() >= 64 and drawn["count"].max() < 300
+    forest = isolation.fit_forest(rows, sizes, cfg).toPandas()
+    assert len(forest) == 20 and set(forest["sample"]) == {64} and len({tuple(c) for c in forest["cut"]}) == 20
+    assert all(size[0] == 64 for size in forest["size"])
+
+
 def points(spark, groups):
     rows = [(c, f"{c}{i}", [float(v) for v in x]) for c, xs in groups.items() for i, x in enumerate(xs)]
     return spark.createDataFrame(rows, "equipment_category string, equipment_id string, x array<double>")
@@ -158,6 +170,51 @@ def test_k_means_separates_blobs_and_rejects_a_lone_outlier(spark):
     assert best["blobs"] == 3 and best.get("lone") != 2
 
 
+def lloyd(x, centres):
+    """Clusters when no point moves any more."""
+    while True:
+        label = ((x[:, None] - centres[None]) ** 2).sum(-1).argmin(axis=1)
+        new = np.array([x[label == j].mean(axis=0) if (label == j).any() else centres[j] for j in range(len(centres))])
+        if np.allclose(new, centres, atol=1e-12):
+            return label
+        centres = new
+
+
+def test_bounds_give_the_clusters_of_plain_rounds(spark):
+    """One start with the picks that the draw gives, against rounds that compute every distance."""
+    rng = np.random.default_rng(9)
+    x = np.rint(wide(rng.normal(size=(300, 4))) * kmeans.GRID) / kmeans.GRID
+    rows = points(spark, {"c": x})
+    picks = kmeans._picks(cut(kmeans.blocks_of(rows)), 1, 5, 42).first().picks
+    found = kmeans.fit(rows, 1, 5, 42).toPandas()
+    for k in range(2, 6):
+        mine = found[found.k == k]
+        order = mine.equipment_id.str[1:].astype(int).argsort().to_numpy()
+        assert mine.cluster.to_numpy()[order].tolist() == lloyd(x, np.array([p.x for p in picks[:k]])).tolist()
+
+
+def test_k_means_of_equal_points_and_of_none(spark):
+    same = points(spark, {"same": wide(np.ones((9, 2))), "two": wide(np.r_[np.zeros((5, 2)), np.ones((5, 2))])})
+    found = kmeans.fit(same, 3, 4, 42).toPandas()
+    assert set(found.equipment_category) == {"two"} and set(found.k) == {2} and found.cluster.nunique() == 2
+    assert kmeans.fit(same.where("false"), 3, 4, 42).count() == 0
+
+
+def test_rounds_plan_alike_however_many_there_were(spark):
+    """The size estimate of the state restarts in every round."""
+    rng = np.random.default_rng(10)
+    blocks, sizes = kmeans.blocks_of(points(spark, {"c": wide(rng.normal(size=(200, 3)))})), []
+    blocks = stored(blocks)
+    n = blocks.groupBy("equipment_category").agg(F.sum(F.size("units")).alias("n_points"))
+    state = stored(kmeans._start_state(kmeans._picks(blocks, 2, 4, 1), n, 2, 4))
+    for _ in range(6):
+        after = stored(kmeans._round(blocks, state, 2, 4))
+        state, blocks = stored(kmeans._next_state(state, after, 2, 4)), after
+        sizes.append(int(blocks.join(state.drop("sums"), "equipment_category")._jdf.queryExecution().optimizedPlan()
+                         .stats().sizeInBytes().toString()))
+    assert max(sizes[1:]) < 2 * min(sizes[1:])
+
+
 def test_silhouettes_against_brute_force(spark):
     rng = np.random.default_rng(6)
     x, label = wide(rng.normal(size=(30, 3))), rng.integers(0, 3, 30)

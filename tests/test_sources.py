@@ -134,3 +134,31 @@ def test_stream_equals_batch(spark, tmp_path):
     want = rows.groupBy(F.to_date("ts").alias("date"), "equipment_category").agg(
         F.sum("fuel_liter").alias("fuel_liter"), F.count("*").alias("n_records"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_new_checkpoint_over_old_totals(spark, tmp_path):
+    """Totals of a new checkpoint win over stored ones, compaction leaves one version, and batches after it win again."""
+    def arrive(name, amount):
+        spark.sql(f"""SELECT timestamp'2025-01-01' ts, 'c' equipment_category, {amount}D fuel_liter, 's' source_sheet, 'f' source_file,
+            id source_row FROM range(3)""").write.parquet(f"{tmp_path}/in/{name}")
+
+    arrive("a", 1)
+    schema = spark.read.parquet(f"{tmp_path}/in/a").schema
+
+    def run(checkpoint):
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+        ingest.maintain_totals(stream, f"{tmp_path}/totals", f"{tmp_path}/{checkpoint}").awaitTermination()
+        rows = spark.read.parquet(f"{tmp_path}/totals")
+        return ingest.current_totals(rows).first().fuel_liter, rows.select("version").distinct().count()
+
+    assert run("c1")[0] == 3.0
+    arrive("b", 10)
+    assert run("c1")[0] == 33.0
+    arrive("c", 100)
+    before = run("c2")  # reads all from the start, in a checkpoint of its own
+    assert before[0] == 333.0 and before[1] > 1
+    ingest.compact_totals(spark, f"{tmp_path}/totals", f"{tmp_path}/c2")
+    assert run("c2") == (333.0, 1)
+    arrive("d", 1000)
+    assert run("c2")[0] == 3333.0
+    assert run("c3")[0] == 3333.0

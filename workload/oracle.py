@@ -156,9 +156,18 @@ cte("used_days", "", f"""SELECT CAST(l_shipdate AS DATE) AS date, year(l_shipdat
     FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL""")
 oracle("i4_skipped_sheets", "used_days",
        "SELECT DISTINCT source_file AS file, 'CATATAN' AS sheet, 'no month' AS reason FROM used_days")
-oracle("i5_sections", "used_days", """SELECT label, count(*) AS n_sections FROM
-    (SELECT DISTINCT source_file, source_sheet FROM used_days)
-    CROSS JOIN (VALUES ('RTGC'), ('HEAD_TRUCK'), ('BUS_ELF'), ('__TOTALS__')) AS t(label) GROUP BY label""")
+_groups = ", ".join(f"""count(DISTINCT equipment_id) FILTER (equipment_category = '{c}') AS n{i},
+      count(*) FILTER (equipment_category = '{c}') AS c{i}""" for i, c in enumerate(("RTGC", "HEAD_TRUCK", "BUS", "ELF"), start=1))
+cte("laid_out", "used_days", f"""SELECT source_file AS file, source_sheet AS sheet, any_value(CAST(y AS INTEGER)) AS year,
+      any_value(CAST(m AS INTEGER)) AS month, {_groups}, count(DISTINCT (date, equipment_category)) AS sums,
+      count(DISTINCT date) AS days FROM used_days GROUP BY 1, 2""")
+oracle("i5_sections", "laid_out", """SELECT file, sheet, CAST(title_row AS INTEGER) AS title_row, label, CAST(end_row AS INTEGER) AS end_row,
+    year, month, CAST(end_row - title_row + 33 + filled AS BIGINT) AS n_cells FROM (
+      SELECT file, sheet, year, month, 0 AS title_row, n1 + 4 AS end_row, 'RTGC' AS label, c1 AS filled FROM laid_out
+      UNION ALL SELECT file, sheet, year, month, n1 + 4, n1 + n2 + 7, 'HEAD_TRUCK', c2 FROM laid_out
+      UNION ALL SELECT file, sheet, year, month, n1 + n2 + 7, n1 + n2 + n3 + n4 + 12, 'BUS_ELF', c3 + c4 FROM laid_out
+      UNION ALL SELECT file, sheet, year, month, n1 + n2 + n3 + n4 + 12, n1 + n2 + n3 + n4 + 19, '__TOTALS__', sums + days
+      FROM laid_out)""")
 oracle("i6_header_days", "used_days", """SELECT DISTINCT source_file AS file, source_sheet, 21 AS day, 33 AS dropped_col,
     CAST(4 AS BIGINT) AS n_headers FROM used_days""")
 oracle("i7_cell_classes", "classed", """SELECT event_id, amount AS fuel_liter,
@@ -228,6 +237,12 @@ oracle("d1_missing_days", "lines_dated", f"""SELECT CAST(day AS DATE) AS date, '
     WHERE CAST(day AS DATE) NOT IN (SELECT date FROM lines_dated)""")
 
 
+# The first planted row, put at the end of 9999, leaves its own month to the other units.
+oracle("d1_missing_runs", "planted_dated", """SELECT CAST(date + 1 AS DATE) AS first_day, CAST(following - 1 AS DATE) AS last_day,
+    CAST(following - date - 1 AS INTEGER) AS n_days FROM (SELECT date, lead(date) OVER (ORDER BY date) AS following FROM
+      (SELECT DISTINCT date FROM planted_dated UNION SELECT DATE '9999-12-31')) WHERE following - date > 1""")
+
+
 def gaps(source: str) -> str:
     return f"""SELECT {K}, longest_gap_start, longest_gap_end, longest_gap_days, active_range_start, active_range_end
     FROM (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY longest_gap_days DESC, longest_gap_start) AS rn
@@ -542,6 +557,8 @@ cte("h_change", "changes", f"""SELECT {K}, least(sum({SCORE})::DOUBLE, 100.0) AS
     max(change_date) AS last_change_point FROM changes GROUP BY {K}""")
 cte("line_totals", "", """SELECT CAST(year(l_shipdate) AS INTEGER) AS year, CAST(month(l_shipdate) AS INTEGER) AS month,
     l_returnflag AS category_label, sum(l_quantity * (1 - l_tax)) AS workbook_value FROM lineitem GROUP BY 1, 2, 3""")
+cte("line_grand", "", """SELECT CAST(year(l_shipdate) AS INTEGER) AS year, CAST(month(l_shipdate) AS INTEGER) AS month,
+    'GRAND_TOTAL' AS category_label, sum(l_quantity * (1 - l_discount)) AS workbook_value FROM lineitem GROUP BY 1, 2""")
 cte("lines_cat", "lines line_totals", by_category("lines", "line_totals", "category_label"))
 cte("h_recon", "lines_cat", f"""SELECT equipment_category,
     avg({case('validation_status', fv.RECONCILIATION_PENALTIES, '0')}) AS reconciliation_penalty FROM lines_cat GROUP BY 1""")
@@ -729,6 +746,12 @@ cte("supp_units", "supp_prof", complete("supp"))
 oracle("g8_small_categories", "supp_units", f"""SELECT {K}, -1 AS cluster_id, {label('false')} AS cluster_label
     FROM supp_units JOIN (SELECT equipment_category, median(mean_daily_fuel) AS mid_mean,
       median(coefficient_of_variation) AS mid_cv FROM supp_units GROUP BY 1) USING (equipment_category)""")
+# A run of k clusters needs more units than k; units here are all different.
+oracle("g4_nearest_centres", "z", f"""SELECT {K}, k, k AS n_clusters, true AS nearest FROM
+    (SELECT {K}, count(*) OVER (PARTITION BY equipment_category) AS n FROM z), (SELECT unnest([2, 3, 4, 5, 6])::INTEGER AS k) WHERE k < n""")
+cte("segmented", "lines_prof units", f"""SELECT *, 0 AS kind FROM units
+    UNION ALL SELECT *, -1 AS kind FROM lines_prof WHERE n_observations < 14""")
+oracle("g9_segments", "segmented", f"SELECT {K}, kind, true AS labelled, {', '.join(PROFILE.split())} FROM segmented", PROFILE)
 oracle("g8_sparse_units", "ev_used", f"""SELECT {K}, -1 AS cluster_id, 'INSUFFICIENT_DATA' AS cluster_label,
     '{fv.SEGMENT_TOO_FEW}' AS cluster_characteristics FROM ev_used GROUP BY {K} HAVING count(fuel_liter) < 14""")
 
@@ -783,6 +806,8 @@ def average_path(width: int, horizon: int) -> str:
     SELECT series_key, CAST(last_date + step AS DATE) AS date, known[-1] AS forecast, step FROM walk WHERE step > 0"""
 
 
+oracle("f6_state_rerun", "flags", """SELECT series_key, CAST(last + step AS DATE) AS date, step, true AS same
+    FROM (SELECT series_key, max(date) AS last FROM flags WHERE y IS NOT NULL GROUP BY 1), (SELECT CAST(unnest(range(1, 31)) AS INTEGER) AS step)""")
 oracle("f4_naive", "ends flags", tail_path("naive", 30), "forecast")
 oracle("f4_seasonal_naive", "ends flags", tail_path("seasonal_naive_7", 30), "forecast")
 oracle("f4_moving_average_7", "ends flags", f"SELECT * FROM ({average_path(7, 30)})", "forecast")
@@ -880,14 +905,20 @@ oracle("f14_placeholder", "flags_ph", "SELECT * FROM flags_ph", FORECAST)
 oracle("i15_forecast_scan", "fleet_ph", "SELECT * FROM fleet_ph", FORECAST)
 oracle("f15_forecast_errors", "flags_err", "SELECT * FROM flags_err", FORECAST + " residual abs_error pct_error")
 oracle("f16_overall_metrics", "flags_err", metrics("flags_err", False), "mae rmse wape bias interval_coverage_pct")
-_rolled = " UNION ALL ".join(f"""SELECT series_key, date, {n} AS window_days,
+
+
+def rolling(source: str) -> str:
+    rolled = " UNION ALL ".join(f"""SELECT series_key, date, {n} AS window_days,
       CASE WHEN count(abs_error) OVER w >= {max(2, n // 2)} THEN avg(abs_error) OVER w END AS rolling_mae,
       CASE WHEN count(abs_error) OVER w >= {max(2, n // 2)} AND count(actual_fuel) OVER w >= {max(2, n // 2)}
         THEN sum(abs_error) OVER w / nullif(sum(abs(actual_fuel)) OVER w, 0) * 100 END AS rolling_wape
-      FROM flags_err WINDOW w AS ({S} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)""" for n in (7, 14, 30))
-cte("rolling", "flags_err", f"""SELECT *, CASE WHEN rolling_wape IS NULL THEN 'INSUFFICIENT_DATA'
+      FROM {source} WINDOW w AS ({S} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)""" for n in (7, 14, 30))
+    return f"""SELECT *, CASE WHEN rolling_wape IS NULL THEN 'INSUFFICIENT_DATA'
       WHEN rolling_wape <= 10 THEN 'HEALTHY' WHEN rolling_wape <= 15 THEN 'MONITOR' ELSE 'RETRAIN' END
-      AS model_health_status FROM ({_rolled}) WHERE rolling_mae IS NOT NULL""")
+      AS model_health_status FROM ({rolled}) WHERE rolling_mae IS NOT NULL"""
+
+
+cte("rolling", "flags_err", rolling("flags_err"))
 oracle("f17_rolling_performance", "rolling", "SELECT * FROM rolling", "rolling_mae rolling_wape")
 oracle("f18_drift", "rolling", """SELECT *, coalesce(latest_wape > previous_wape * 1.2 AND latest_wape > 10, false) AS drift
     FROM (SELECT series_key, max(rolling_wape) FILTER (late = 1) AS latest_wape,
@@ -1056,3 +1087,49 @@ oracle("st3_score_arriving", "ev_std ev_lim ev_median", """SELECT source_row,
     FROM ev_std JOIN ev_lim USING (equipment_category) JOIN ev_median USING (equipment_category)""",
        "deviation_from_category_median")
 
+
+# --- the whole run -------------------------------------------------------------------------------
+
+def _fingerprint(name: str, keys: str, source: str) -> str:
+    row = "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in keys.split()) + ")"
+    return f"""SELECT '{name}' AS "table", count(*) AS n_rows,
+      CAST(coalesce(sum(CAST('0x' || substr(md5({row}), 1, 8) AS BIGINT)), 0) AS BIGINT) AS checksum FROM ({source})"""
+
+
+cte("run_monthly", "lines_dated line_grand", monthly("lines_dated", "line_grand"))
+cte("fleet_rolling", "fleet_err", rolling("fleet_err"))
+_RUN = [
+    ("cleaned_ledger", "source_file source_row data_status", "SELECT * FROM lines_clean"),
+    ("unit_master", "equipment_category equipment_id", f"SELECT DISTINCT {K} FROM lines_dated"),
+    ("issue_report", "issue_code data_status n_occurrences", """SELECT issue_code, data_status, count(equipment_id) AS n_occurrences
+        FROM lines_clean WHERE issue_code IS NOT NULL GROUP BY 1, 2"""),
+    ("monthly_reconciliation", "year month validation_status", "SELECT * FROM run_monthly"),
+    ("category_reconciliation", "year month equipment_category validation_status", "SELECT * FROM lines_cat"),
+    ("missing_days", "date", """SELECT CAST(day AS DATE) AS date FROM
+        (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS day FROM lines_dated)
+        WHERE CAST(day AS DATE) NOT IN (SELECT date FROM lines_dated)"""),
+    ("longest_gaps", "equipment_category equipment_id longest_gap_days", "SELECT * FROM lines_gaps"),
+    ("quality_kpis", "duplicate_count unusually_high_count invalid_date_count", """SELECT
+        count(*) FILTER (data_status = 'DUPLICATE') AS duplicate_count,
+        count(*) FILTER (data_status = 'UNUSUALLY_HIGH') AS unusually_high_count,
+        count(*) FILTER (data_status = 'INVALID_DATE') AS invalid_date_count FROM lines_clean"""),
+    ("forecast_errors", "series_key date", "SELECT * FROM fleet_err"),
+    ("forecast_metrics", "series_key", "SELECT DISTINCT series_key FROM fleet_err"),
+    ("rolling_performance", "series_key window_days date", "SELECT * FROM fleet_rolling"),
+    ("anomaly_report", "equipment_category equipment_id date severity", "SELECT * FROM lines_report"),
+    ("anomaly_summary", "equipment_category severity n_records",
+     "SELECT equipment_category, severity, count(*) AS n_records FROM lines_report GROUP BY 1, 2"),
+    ("change_points", "equipment_category equipment_id change_date change_direction confidence", "SELECT * FROM changes"),
+    ("change_summary", "equipment_category change_direction n_change_points",
+     "SELECT equipment_category, change_direction, count(*) AS n_change_points FROM changes GROUP BY 1, 2"),
+    ("health_scores", "equipment_category equipment_id health_status", "SELECT * FROM health"),
+    ("segments", "equipment_category equipment_id", "SELECT * FROM segmented"),
+    ("segment_summary", "equipment_category n_equipment",
+     "SELECT equipment_category, count(*) AS n_equipment FROM segmented GROUP BY 1"),
+    ("saving_scenarios", "scenario", "SELECT * FROM saving"),
+    ("recommendations", "priority equipment_category equipment_id finding target_date", "SELECT * FROM advice"),
+    ("recommendation_summary", "priority responsible_role n_recommendations",
+     "SELECT priority, responsible_role, count(*) AS n_recommendations FROM advice GROUP BY 1, 2"),
+]
+oracle("o1_full_run", "lines_clean lines_dated run_monthly lines_cat lines_gaps fleet_err fleet_rolling lines_report changes health "
+       "segmented saving advice", " UNION ALL ".join(_fingerprint(*row) for row in _RUN))

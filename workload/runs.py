@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ledgerlens import fixed_values as fv
 from ledgerlens.functions.text import cell_value, match_key, sheet_month, sheet_year, split_unit, unit_name
 from ledgerlens.operators import (anomaly, changepoint, cleaning, explore, features, forecast, health, isolation,
-                                  monitoring, quality, recommend, reconcile, scenarios, segments, trees)
+                                  monitoring, quality, recommend, reconcile, scenarios, segments, smoothing, trees)
 from ledgerlens.plans import full_run
 from ledgerlens.schema import AMOUNT, CATEGORY, DATE, FORECAST_COLUMNS, UNIT, UNIT_KEY
 from ledgerlens.scratch import cut, new_path, stored
@@ -120,7 +120,8 @@ def i4_skipped_sheets(spark, d):
 
 @query
 def i5_sections(spark, d):
-    return grid.find_sections(cut(b.sheet_cells(spark, d))).groupBy("label").agg(F.count(F.lit(1)).alias("n_sections"))
+    cells = stored(b.sheet_cells(spark, d))
+    return grid.section_intervals(cells, grid.find_sections(cells))
 
 
 @query
@@ -247,6 +248,14 @@ def d1_missing_days(spark, d):
     return quality.missing_days(clean_lines(spark, d))
 
 
+@query
+def d1_missing_runs(spark, d):
+    """Days without rows, as runs, of a ledger that has a day a month, and one date far off."""
+    rows = b.planted_ledger(spark, d)
+    far = rows.limit(1).withColumn(DATE, F.make_date(F.lit(9999), F.lit(12), F.lit(31)))
+    return quality.missing_runs(cleaning.clean(rows.unionByName(far)))
+
+
 @query
 def d2_longest_gaps(spark, d):
     return quality.longest_gaps(clean_lines(spark, d))
@@ -562,6 +571,23 @@ def g4_k_means(spark, d):
     return segments.k_means(points).groupBy(CATEGORY, "k", "cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def g4_nearest_centres(spark, d):
+    """Whether each unit lies in the cluster with the nearest mean, for every k."""
+    points = stored(segments.standardise(segments.complete_units(line_profiles(spark, d))).select(*UNIT_KEY, "x"))
+    found = stored(segments.k_means(points))
+    means = found.groupBy(CATEGORY, "k", "cluster").agg(
+        F.array(*[F.avg(F.get("x", F.lit(i))) for i in range(len(segments.FEATURES))]).alias("at"))
+    packed = means.groupBy(CATEGORY, "k").agg(F.collect_list(F.struct("cluster", "at")).alias("means"))
+
+    def away(c):
+        return F.aggregate(F.zip_with("x", c["at"], lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda t, v: t + v)
+
+    own = F.filter("means", lambda c: c["cluster"] == F.col("cluster"))
+    nearest = away(F.get(own, F.lit(0))) <= F.array_min(F.transform("means", away)) + 1e-5
+    return found.join(packed, [CATEGORY, "k"]).select(*UNIT_KEY, "k", F.size("means").alias("n_clusters"), nearest.alias("nearest"))
+
+
 @query
 def g5_silhouette(spark, d):
     units = quadrants(segments.standardise(segments.complete_units(line_profiles(spark, d))))
@@ -606,6 +632,18 @@ def g9_segment_summary(spark, d):
     return segments.segment_summary(segments.segments(cleaned, anomaly.anomaly_report(cleaned, use_forest=False)))
 
 
+@query
+def g9_segments(spark, d):
+    """Every unit with its features and whether it was segmented or had too few observations."""
+    cleaned = kept_lines(spark, d)
+    found = segments.segments(cleaned, anomaly.anomaly_report(cleaned, use_forest=False))
+    few = F.col("cluster_label") == "INSUFFICIENT_DATA"
+    label = F.when(few, F.lit(-1)).otherwise(F.lit(0)).alias("kind")
+    known = F.col("cluster_label").isin("INTERMITTENT", "INCREASING_TREND", "HOMOGENEOUS", "HIGH_VOLATILE", "HIGH_STABLE",
+                                        "LOW_VOLATILE", "LOW_STABLE", "INSUFFICIENT_DATA")
+    return shown(found.select(*UNIT_KEY, label, known.alias("labelled"), *segments.FEATURES))
+
+
 # --- forecasts -----------------------------------------------------------------------------------
 
 @query
@@ -651,6 +689,16 @@ def f6_holt_winters(spark, d):
     return shown(forecast.forecast_path(flag_series(spark, d), 30, "holt_winters"))
 
 
+@query
+def f6_state_rerun(spark, d):
+    """Whether the recursion alone, from the fitted weights and starting state, gives the forecasts of the fit."""
+    series = stored(flag_series(spark, d).where("y IS NOT NULL"))
+    found = smoothing.rerun(series, stored(smoothing.fitted_states(series)), 30).withColumnRenamed("forecast", "again")
+    path = forecast.forecast_path(series, 30, "holt_winters")
+    same = F.abs(F.col("forecast") - F.col("again")) <= 1e-6 * F.greatest(F.abs("forecast"), F.lit(1.0))
+    return path.join(found, ["series_key", DATE, "step"]).select("series_key", DATE, "step", same.alias("same"))
+
+
 @query
 def f7_model_choice(spark, d):
     series = cut(flag_series(spark, d))
@@ -967,8 +1015,18 @@ def u18_advice_by_role(spark, d):
 
 @query
 def o1_full_run(spark, d):
+    """Rows and checksums of all tables of a run with the methods that SQL can follow; segments by their units."""
+    tables = full_run.run(b.lines_ledger(spark, d), b.line_totals(spark, d), AS_OF, labels=b.LINE_LABELS, use_forest=False,
+                          change_method="mean_shift")
+    tables["segment_summary"] = tables["segment_summary"].groupBy(CATEGORY).agg(F.sum("n_equipment").alias("n_equipment"))
+    return full_run.summary(full_run.written(tables))
+
+
+@query
+def o1_full_run_learned(spark, d):
+    """Rows and checksums of all tables of a run with the forest and kernel change points."""
     tables = full_run.run(b.lines_ledger(spark, d), b.line_totals(spark, d), AS_OF, labels=b.LINE_LABELS)
-    return full_run.table_sizes(tables)
+    return full_run.summary(full_run.written(tables))
 
 
 def event_stream(spark, d):
