@@ -211,7 +211,7 @@ def test_rounds_plan_alike_however_many_there_were(spark):
         after = stored(kmeans._round(blocks, state, 2, 4))
         state, blocks = stored(kmeans._next_state(state, after, 2, 4)), after
         sizes.append(int(blocks.join(state.drop("sums"), "equipment_category")._jdf.queryExecution().optimizedPlan()
-                         .stats().sizeInBytes().toString()))
+                         .stats().sizeInBytes()))
     assert max(sizes[1:]) < 2 * min(sizes[1:])
 
 
