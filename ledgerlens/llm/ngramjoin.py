@@ -37,6 +37,8 @@ from .graph import components
 SLICE = 2_000_000
 WORDS = 200_000
 ROUNDS = 2
+# Rows that leave or have copies are broadcast up to this number, some 50 bytes each, so that texts stay where they are.
+FEW = 1_000_000
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -272,6 +274,8 @@ def keep_first(docs: DataFrame, words: int = 4, similarity: int = 85) -> DataFra
     # A key that stays more than once stands for rows that are alike.
     verdict = stored(judged.groupBy("_id", "_row").agg(F.max("_stays").alias("_stays"), F.count("*").alias("_times"))
                      .where("not _stays or _times > 1"), "verdicts")
+    if verdict.count() <= FEW:
+        verdict = F.broadcast(verdict)
     keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_row": row})
     marked = keyed.join(verdict, ["_id", "_row"], "left").where("coalesce(_stays, true)")
     once = marked.where("_times is null").select(*docs.columns)
