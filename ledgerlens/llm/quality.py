@@ -3,7 +3,7 @@
 Words and pairs of neighbouring words are hashed into `BUCKETS` buckets. Two multinomials over the buckets are
 counted: the raw one over every document, the trusted one over documents labelled good and not toxic. A document's
 score is the mean, over its n-grams, of log p_trusted - log p_raw, kept in whole millionths so that sums are exact in
-any order. The cut is set on trusted documents that were held out from the counts.
+any order. The cut is set on trusted documents that were held out from the counts. All labelled documents take part.
 
 Defined results: a null or empty text has no words, score 0.0, and fails the base rule; documents with equal texts get
 equal scores; repeated rows are scored each; a null doc_id is kept as null; with no labelled documents, or none held
@@ -21,13 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.ranks import value_ranks
+
 from .common import SPACES, batch, kept, stored, text_slices
 
 BUCKETS = 4096
-# At most so many labelled documents make the trusted side, those with the smallest md5(doc_id).
+# The SQL of op1 reads at most so many trusted documents, those with the smallest md5(doc_id); the operator reads all.
 TRUSTED = 20_000
-# Of them, those whose md5(doc_id) starts with one of these digits are held out to set the cut.
+# Trusted documents whose md5(doc_id) starts with one of these digits are held out to set the cut.
 HELD = "012"
+# Ids of trusted documents are broadcast up to this number, some 20 bytes each, so that texts stay where they are.
+FEW = 1_000_000
 # The cut lies so many times (median - 5 % quantile) below the median of the held-out scores.
 WIDTH = 2.5
 SYMBOLS = b"#*$%&|<>"
@@ -148,25 +152,31 @@ def bucket_weights(counts: DataFrame) -> np.ndarray:
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """(doc_id, held) of the trusted documents, at most TRUSTED."""
+    """(doc_id, held) of the trusted documents."""
     digest = F.md5(F.col("doc_id").cast("string"))
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    return (good.where("doc_id is not null and quality = 1 and toxic = 0").select("doc_id", digest.alias("digest"))
-            .orderBy("digest", "doc_id").limit(TRUSTED)
-            .select("doc_id", F.substring("digest", 1, 1).isin(*HELD).alias("held")))
+    return (good.where("doc_id is not null and quality = 1 and toxic = 0")
+            .select("doc_id", F.substring(digest, 1, 1).isin(*HELD).alias("held")))
+
+
+def cut_of(scores: DataFrame) -> float:
+    """The cut by the held-out scores: their ranks come from counts of equal ones, two rows reach the driver."""
+    wanted = [F.floor(F.col("_n") / n).between(F.col("_before"), F.col("_before") + F.col("_ties") - 1) for n in (2, 20)]
+    ranks = value_ranks(scores.withColumn("all", F.lit(0)), ["all"], "score")
+    middle, low = ranks.agg(*(F.max(F.when(here, F.col("score"))) for here in wanted)).first()
+    return FAR if middle is None else middle - WIDTH * (middle - low)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """Weights of the buckets, from every document, and the cut on the score."""
-    ids = F.broadcast(stored(trusted_ids(labels), "trusted"))  # TRUSTED rows at most
-    marked = docs.select("doc_id", "text").join(ids, "doc_id", "left")
+    ids = stored(trusted_ids(labels), "trusted")
+    few = ids.count() <= FEW
+    marked = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left").select("doc_id", "text", "held")
+    # Without a broadcast texts move once, and both readers find them marked.
+    marked = marked if few else stored(marked, "marked")
     weights = bucket_weights(count_grams(marked.select("text", F.expr("held is not null and not held").alias("c"))))
-    held = rated(docs.select("doc_id", "text").join(ids.where("held"), "doc_id", "left_semi"), weights, FAR)
-    scores = sorted(r.score for r in held.where("n_words > 0").select("score").collect())  # TRUSTED at most
-    if not scores:
-        return weights, FAR
-    middle, low = scores[len(scores) // 2], scores[len(scores) // 20]
-    return weights, middle - WIDTH * (middle - low)
+    held = rated(marked.where("held"), weights, FAR).where("n_words > 0").select("score")
+    return weights, cut_of(stored(held, "held"))
 
 
 def rated(docs: DataFrame, weights: np.ndarray, cut: float) -> DataFrame:

@@ -73,3 +73,27 @@ def test_keep_keeps_all_columns_and_rows_that_pass(spark, documents):
     assert out.columns == docs.columns
     assert sorted(r.doc_id or 0 for r in out.collect()) == [0, 1, 1]
     assert quality.keep(documents([]), labels).count() == 0
+
+
+def test_every_labelled_document_counts(spark, documents, monkeypatch):
+    import random
+
+    draw = random.Random(5)
+    texts = [" ".join(draw.choice(["the", "of", "sea", "ship", f"w{i % 9}"]) for _ in range(70)) for i in range(80)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality long, toxic long")
+    rows = lambda: sorted(tuple(r) for r in quality.rules(documents(texts), labels).collect())
+    before = rows()
+    monkeypatch.setattr(quality, "TRUSTED", 7)
+    assert quality.trusted_ids(labels).count() == 60 and rows() == before
+    monkeypatch.setattr(quality, "FEW", 0)  # ids beyond what is broadcast
+    assert rows() == before
+
+
+def test_cut_by_ranks_of_scores(spark):
+    values = [0.25, -1.5, 0.25, 3e-7, 0.0, -1.5, 2.0] * 9 + [7.125]
+    ranked = sorted(values)
+    middle, low = ranked[len(ranked) // 2], ranked[len(ranked) // 20]
+    scores = spark.createDataFrame([(v,) for v in values], "score double")
+    assert quality.cut_of(scores) == middle - quality.WIDTH * (middle - low)
+    assert quality.cut_of(scores.limit(1)) == values[0]
+    assert quality.cut_of(scores.limit(0)) == quality.FAR
