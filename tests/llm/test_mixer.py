@@ -233,3 +233,17 @@ def test_first_weights_are_learned_on_training_documents(documents, monkeypatch)
     monkeypatch.setattr(mixer, "LEARN", 500)
     mixer.score(documents(rows)).collect()
     assert starts[0].shape == starts[1].shape == mixer.START.shape and not np.allclose(starts[0], starts[1], atol=1e-3)
+
+
+def test_first_weights_are_learned_on_all_training_documents(documents, monkeypatch):
+    """However many tokens there are: a corpus of more than four million, in few words."""
+    rows = [(i, "a b " * 40_000) for i in range(70)]
+    taken = []
+
+    def learn(made, *rest):
+        taken.extend(np.frombuffer(r.sizes, "<u4").sum() for r in made.where("slice % 2 = 1").collect())
+        return mixer.START
+
+    monkeypatch.setattr(mixer, "first_weights", learn)
+    mixer.score(documents(rows))
+    assert sum(taken) == sum(80_001 for i, _ in rows if not held(i)) > 4_000_000
