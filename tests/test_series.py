@@ -1,5 +1,8 @@
 """Features, anomalies, change points, health and segments on small series."""
 
+import datetime as dt
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -248,3 +251,65 @@ def test_segments_keep_conservation(daily):
 def test_two_months_have_no_growth(daily):
     got = segments.unit_profiles(daily({("A", "u"): [1.0] * 50})).first()
     assert got.monthly_growth is None and got.active_day_ratio == 1.0
+
+
+def test_trees_by_levels_walk_as_their_nodes(spark):
+    draw = np.random.default_rng(2)
+    for n in (2, 3, 40, 256):
+        tree = isolation._grow(np.round(draw.normal(size=(n, 4)), 1), draw)
+        asked = np.round(draw.normal(size=(300, 4)), 1)
+        asked[::9, 2] = np.nan
+        want = []
+        for row in asked:
+            node, depth = 0, 0
+            while tree["feature"][node] >= 0:
+                node, depth = 2 * node + 1 + int(row[tree["feature"][node]] > tree["cut"][node]), depth + 1
+            want.append(depth + isolation._path_left([tree["size"][node]])[0])
+        got = isolation._depths(asked, *isolation._leveled(tree["feature"], tree["cut"], tree["size"]))
+        assert got.tolist() == want
+
+
+def test_points_of_trees_are_drawn_beside_the_rows(spark):
+    rows = spark.createDataFrame([("a", f"u{i % 7}", dt.date(2020, 1, 1) + dt.timedelta(days=i // 7), float(i), 0.0, 1, 2)
+                                  for i in range(3000)], "equipment_category string, equipment_id string, date date, "
+                                 "fuel_liter double, deviation_from_category_median double, day_of_week int, month_num int")
+    sizes = spark.createDataFrame([("a", 3000)], "equipment_category string, n_rows long")
+    points = isolation.drawn_points(rows, sizes)
+    assert "Generate" not in points._jdf.queryExecution().executedPlan().toString()
+    cfg = isolation.DEFAULT
+    factors = np.random.default_rng(cfg.seed).integers(1, isolation.PLACES, size=(cfg.forest_trees, 2)).tolist()
+    base = [r[0] for r in rows.select(F.expr(f"pmod(xxhash64(equipment_category, equipment_id, date), {isolation.PLACES})")).collect()]
+    last = math.ceil(min((cfg.forest_sample + 10 * cfg.forest_sample ** 0.5) / 3000, 1.0) * isolation.PLACES)
+    want = sorted((t, p) for t, (a, b) in enumerate(factors) for x in base for p in [(x * a + b) % isolation.PLACES] if p < last)
+    assert sorted((r.tree, r.place) for r in points.select("tree", "place").collect()) == want
+
+
+def test_units_across_batches_are_segmented_whole(spark):
+    draw = np.random.default_rng(3)
+    series = {unit: np.concatenate([draw.normal(10, 1, 40), draw.normal(50 + 5 * i, 1, 35)])
+              for i, unit in enumerate(("a", "b", None, "d"))}
+    rows = spark.createDataFrame([("c" if unit != "d" else None, unit, at, dt.date(2020, 1, 1) + dt.timedelta(days=at), float(v), len(values))
+                                  for unit, values in series.items() for at, v in enumerate(values)],
+                                 "equipment_category string, equipment_id string, position int, date date, fuel_liter double, n_observations int")
+    cfg = changepoint.DEFAULT
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        plan = changepoint.kernel_changes(rows)
+        got = {}
+        for r in plan.where("is_change").collect():
+            got.setdefault(r.equipment_id, []).append(r.position)
+        assert plan.count() == 300
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert {u: sorted(v) for u, v in got.items()} == {
+        u: changepoint.kernel_breaks(v, cfg.change_penalty, cfg.change_min_size, cfg.change_jump) for u, v in series.items()}
+
+
+def test_median_gap_begins_near_its_end(monkeypatch):
+    draw = np.random.default_rng(4)
+    for values in (draw.normal(size=50), draw.integers(1, 9, 61).astype(float), np.full(9, 0.1), np.array([2.5, 1.5]), draw.random(130) * 1e-7):
+        monkeypatch.setattr(changepoint, "PAIRED", 1024)
+        near = changepoint.typical_gap(values)
+        monkeypatch.setattr(changepoint, "PAIRED", 0)
+        assert near == changepoint.typical_gap(values)
