@@ -203,6 +203,24 @@ def test_k_means_of_equal_points_and_of_none(spark):
     assert kmeans.fit(same.where("false"), 3, 4, 42).count() == 0
 
 
+def test_a_round_writes_centres_not_points(spark):
+    """What is kept of a round does not grow with the points, and products find the nearest centre that differences find."""
+    rng = np.random.default_rng(11)
+    small, large = ({"c": wide(rng.normal(size=(n, 4)))} for n in (60, 6000))
+    written = []
+    for groups in (small, large):
+        blocks = stored(kmeans.blocks_of(points(spark, groups)))
+        n = blocks.groupBy("equipment_category").agg(F.sum(F.size("units")).alias("n_points"))
+        state = stored(kmeans._start_state(kmeans._picks(blocks, 2, 4, 1), n, 2, 4))
+        state = kmeans._next_state(state, kmeans._round(blocks, state, 2, 4), 2, 4).first()
+        written.append(sum(len(v) for v in state if isinstance(v, (bytes, bytearray))))
+        assert not {"upper", "lower", "cluster"} & set(blocks.columns)
+    assert written[0] == written[1]
+    x = np.repeat(rng.normal(size=(50, 9)), 2, axis=0)
+    centres = np.r_[x[:4], x[10:11] + 1e-9]
+    assert (kmeans._nearest(x, centres) == kmeans._distances(x, centres).argmin(axis=1)).all()
+
+
 def test_rounds_plan_alike_however_many_there_were(spark):
     """The size estimate of the state restarts in every round."""
     rng = np.random.default_rng(10)
