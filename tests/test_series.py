@@ -331,3 +331,11 @@ def test_median_gap_begins_near_its_end(monkeypatch):
         near = changepoint.typical_gap(values)
         monkeypatch.setattr(changepoint, "PAIRED", 0)
         assert near == changepoint.typical_gap(values)
+
+
+def test_filters_on_severity_do_not_sort_windows_again(spark, daily):
+    rows = anomaly.anomaly_report(daily({("A", "u"): range(1, 40)}), use_forest=False)
+    found = rows.where("severity != 'INSUFFICIENT_DATA'").where("severity != 'NORMAL'").select("severity")
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("sort_array") <= 2
+    assert not [line for line in text.splitlines() if "Filter" in line and "sort_array" in line]
