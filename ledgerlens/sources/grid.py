@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from ledgerlens import fixed_values as fv
 from ledgerlens.functions.text import cell_value, date_from, number_in, one_spaced, sheet_month, sheet_year
 from ledgerlens.schema import AMOUNT, CATEGORY, CELLS, DATE, LEDGER_COLUMNS, UNIT, SourceMissingError
-from ledgerlens.scratch import cut
+from ledgerlens.scratch import stored
 
 SHEET = ["file", "sheet"]
 SECTION = [*SHEET, "title_row"]
@@ -39,26 +39,35 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
 
 def section_label(text: Column) -> Column:
     """Category of a section title in column 0, missing for other texts."""
-    shown = F.upper(one_spaced(text))
-    label = F.lit(None).cast("string")
-    for words, name in reversed(fv.SECTION_TITLES):
-        label = F.when(F.contains(shown, F.lit(words)), name).otherwise(label)
-    return label
+    def named(shown: Column) -> Column:
+        label = F.lit(None).cast("string")
+        for words, name in reversed(fv.SECTION_TITLES):
+            label = F.when(F.contains(shown, F.lit(words)), name).otherwise(label)
+        return label
+
+    # The text is put in shape once, not once for each title.
+    return F.get(F.transform(F.array(F.upper(one_spaced(text))), named), F.lit(0))
 
 
 def sheet_calendar(cells: DataFrame) -> DataFrame:
-    """Every sheet with the month and year its name gives, and its number of rows."""
-    return (cells.groupBy(*SHEET).agg((F.max("row") + 1).alias("n_rows"))
-            .withColumns({"month": sheet_month(F.col("sheet")), "year": sheet_year(F.col("sheet"))})
+    """Every sheet with the month and year its name gives, and its number of rows.
+
+    Sheets are written before their names are read: a filter on what names give would move below the grouping, to all cells.
+    """
+    sheets = stored(cells.groupBy(*SHEET).agg((F.max("row") + 1).alias("n_rows")))
+    return (sheets.withColumns({"month": sheet_month(F.col("sheet")), "year": sheet_year(F.col("sheet"))})
             .withColumn("is_monthly", F.col("month").isNotNull() & F.col("year").isNotNull()))
 
 
-def find_sections(cells: DataFrame) -> DataFrame:
-    """Titled sections of monthly sheets: title row, label, the row where the next one starts."""
+def find_sections(cells: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
+    """Titled sections of monthly sheets: title row, label, the row where the next one starts.
+
+    `sheets` takes the calendar of the cells' sheets where it is known.
+    """
     titles = (cells.where("col = 0").withColumn("label", section_label(F.col("text")))
               .where("label IS NOT NULL").select(*SHEET, F.col("row").alias("title_row"), "label"))
     following = F.lead("title_row").over(Window.partitionBy(*SHEET).orderBy("title_row"))
-    months = sheet_calendar(cells).where("is_monthly")
+    months = (sheet_calendar(cells) if sheets is None else sheets).where("is_monthly")
     return (titles.join(months, SHEET).withColumn("end_row", F.coalesce(following, F.col("n_rows")))
             .where("title_row + 1 < end_row").select(*SECTION, "label", "end_row", "year", "month"))
 
@@ -88,7 +97,9 @@ def _in_section(cells: DataFrame, sections: DataFrame) -> DataFrame:
 
 def header_days(cells: DataFrame, sections: DataFrame) -> DataFrame:
     """Header cells that name a day 1..31, numbered per day from the left (nth = 1 is used)."""
-    header = cells.join(sections, SHEET).where("row = title_row + 1 AND col >= 1")
+    heads = sections.withColumn("row", F.col("title_row") + 1)
+    # Written before its texts are read, as reading would move below the join, to all cells.
+    header = stored(cells.where("col >= 1").join(heads, [*SHEET, "row"]).select(*SECTION, "row", "col", "text"))
     day = number_in(F.trim("text"))
     days = (header.withColumn("_number", day).where("_number = floor(_number) AND _number BETWEEN 1 AND 31")
             .withColumn("day", F.col("_number").cast("int")))
@@ -150,14 +161,14 @@ def read_grid(cells: DataFrame) -> Grid:
     """Ledger, control totals, repeated header days and skipped sheets of all cells.
 
     `cells` is read several times and should be a stored table. Sections and header days, a few rows per
-    sheet, are written once.
+    sheet, are written once, as Parquet, so that Spark knows how small they are before it moves cells.
     """
-    sections = cut(find_sections(cells))
-    days = cut(header_days(cells, sections))
+    sheets = sheet_calendar(cells)
+    sections = stored(find_sections(cells, sheets))
+    days = stored(header_days(cells, sections))
     repeated = days.where("nth > 1").select(
         "file", F.col("sheet").alias("source_sheet"), F.col("row").alias("header_row"), "day",
         F.col("col").alias("dropped_col"))
-    sheets = sheet_calendar(cells)
     used = sections.select(*SHEET).distinct()
     skipped = (sheets.join(used, SHEET, "left_anti")
                .select(*SHEET, F.when(F.col("is_monthly"), "no section").otherwise("no month").alias("reason")))

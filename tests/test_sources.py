@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import recommend, scenarios
 from ledgerlens.schema import CELLS, LEDGER_COLUMNS, SourceMissingError, SourceSchemaError
+from ledgerlens.scratch import stored
 from ledgerlens.sources import grid, ledger as sources, vendor
 from ledgerlens.streaming import ingest
 
@@ -162,3 +163,23 @@ def test_new_checkpoint_over_old_totals(spark, tmp_path):
     arrive("d", 1000)
     assert run("c2")[0] == 3333.0
     assert run("c3")[0] == 3333.0
+
+
+def test_header_cells_meet_sections_by_row(spark):
+    """The few header cells are written before their texts are read, and the small tables are known to be small."""
+    cells = stored(spark.createDataFrame(
+        [("f", "Mei 2024", r, c, t) for r, c, t in [
+            (0, 0, "PEMAKAIAN SOLAR RTGC"), (1, 0, "UNIT"), (1, 1, "1"), (1, 2, "1"), (2, 0, "U1"), (2, 1, "5"), (3, 0, "TOTAL"),
+            (4, 0, "PEMAKAIAN SOLAR HEADTRUCK"), (5, 0, "UNIT"), (5, 1, "7"), (6, 0, "U2"), (6, 1, "3"), (7, 0, "TOTAL")]],
+        CELLS))
+    sections = stored(grid.find_sections(cells))
+    titles = cells.select(grid.section_label(F.col("text")).alias("label"))
+    assert titles._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    days = grid.header_days(cells, sections)
+    assert "Join" not in days._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.title_row, r.col, r.day, r.nth) for r in days.collect()) == [(0, 1, 1, 1), (0, 2, 1, 2), (4, 1, 7, 1)]
+    monthly = grid.sheet_calendar(cells).where("is_monthly")
+    assert "Aggregate" not in monthly._jdf.queryExecution().optimizedPlan().toString()
+    found = grid.read_grid(cells)
+    assert found.header_anomalies.count() == 1
+    assert found.header_anomalies._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 20
