@@ -281,3 +281,9 @@ def test_estimated_starts_beat_the_first_weeks():
         for _ in range(20):  # no other start is better
             other = (best[0] + rng.normal(), best[1] + rng.normal(0, .1), best[2] + rng.normal(size=7))
             assert smoothing._run(y, ends[k:k + 1], weights, [other])[0][0, 0] >= least - 1e-9
+
+
+def test_a_series_with_too_few_days_has_no_nodes(spark, daily):
+    series = forecast.daily_series(daily({("A", "u"): [float(i % 7) for i in range(20)]}))
+    found = trees.node_table(series, "hist_gradient_boosting")
+    assert found.count() == 0 and found.columns == [c.split()[0] for c in trees.NODES.split(", ")]
