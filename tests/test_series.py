@@ -203,6 +203,22 @@ def test_k_means_of_equal_points_and_of_none(spark):
     assert kmeans.fit(same.where("false"), 3, 4, 42).count() == 0
 
 
+def test_categories_of_few_points_settle_without_rounds(spark, monkeypatch):
+    """Both ways give the same clusters, and only categories above the border need rounds between tasks."""
+    rng = np.random.default_rng(12)
+    rows = cut(points(spark, {"a": wide(rng.normal(size=(40, 4))), "b": wide(rng.normal(size=(90, 3))),
+                              "c": wide(np.ones((3, 2)))}))
+    rounds = []
+    monkeypatch.setattr(kmeans, "_round", lambda *a, f=kmeans._round: rounds.append(1) or f(*a))
+    found = {}
+    for border in (1 << 16, 60, 0):
+        monkeypatch.setattr(kmeans, "ALONE", border)
+        before = len(rounds)
+        found[border] = sorted(map(tuple, kmeans.fit(rows, 2, 3, 42).drop("x").collect()))
+        assert (len(rounds) == before) == (border == 1 << 16)
+    assert found[1 << 16] == found[60] == found[0] and len(found[0]) == 2 * 130
+
+
 def test_a_round_writes_centres_not_points(spark):
     """What is kept of a round does not grow with the points, and products find the nearest centre that differences find."""
     rng = np.random.default_rng(11)
