@@ -40,6 +40,13 @@ def test_no_cartesian_products(spark):
         assert "CartesianProduct" not in text and "NestedLoop" not in text, name
 
 
+def test_sales_are_joined_once_for_a_summary(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(bindings, "sales_ledger", lambda *a, f=bindings.sales_ledger: read.append(1) or f(*a))
+    text = plan(QUERIES["r4_reconciliation_summary"](spark, SF))
+    assert len(read) == 1 and "lineitem.parquet" not in text and "orders.parquet" not in text
+
+
 def test_each_sql_names_a_query():
     assert set(ORACLE) <= set(QUERIES)
 
