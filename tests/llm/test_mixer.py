@@ -173,6 +173,21 @@ def test_logits_are_those_of_exact_counts_without_the_token_itself(spark, docume
     assert checked > 1000
 
 
+def test_a_slice_opens_few_ranges_at_a_time(documents, monkeypatch):
+    rows = [(i, " ".join(f"w{k % (7 + i)}" for k in range(40 + i))) for i in range(30)]
+    row = mixer.parts(documents(rows, parts=1), {}, np.zeros(mixer.CLASSES)).where("slice is not null")
+    bits, ranges = 34, 4 * mixer.RANGES
+    answers = [(r.part, r.left) for r in mixer.meet_contexts(row, bits).collect() if r.slice == row.first().slice]
+    row, none, opened = row.first().asDict(), np.zeros((2, mixer.CLASSES, mixer.BITS), np.float32), []
+    monkeypatch.setattr(mixer, "logits_of", lambda *a, f=mixer.logits_of: opened.append(len(a[2])) or f(*a))
+    some = mixer.Slice(row, answers, none, bits, ranges)
+    assert max(opened) <= mixer.OPENED < len(answers) // 2
+    monkeypatch.setattr(mixer, "OPENED", 1 << 20)
+    every = mixer.Slice(row, answers, none, bits, ranges)
+    for a, b in zip(some.logits + some.found, every.logits + every.found):
+        assert (a == b).all()
+
+
 def test_arrays_come_back_as_they_were():
     draw = np.random.default_rng(7)
     for n in (0, 1, 5, 3_000):
