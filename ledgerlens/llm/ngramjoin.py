@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batch, kept, mix64, partitions, slices, stored, texts_of
+from .common import Memo, batch, kept, mix64, partitions, stored, text_slices
 from .graph import components
 
 SLICE = 2_000_000
@@ -82,9 +82,8 @@ def members(docs: DataFrame, words: int, row: Column) -> DataFrame:
     def run(batches):
         own = kept(("shingles", words), lambda: Shingler(words))
         for b in batches:
-            texts = texts_of(b.column(1))
-            for lo, hi in slices([len(t) for t in texts], SLICE):
-                sets = own.sets(texts[lo:hi])
+            for lo, hi, texts in text_slices(b.column(1), SLICE):
+                sets = own.sets(texts)
                 yield batch(MEMBERS, b.column(0).slice(lo, hi - lo), [len(s) for s in sets],
                             [fingerprint(s) if len(s) else None for s in sets], b.column(2).slice(lo, hi - lo))
 
@@ -108,9 +107,8 @@ def shared_shingles(docs: DataFrame, words: int, similarity: int) -> DataFrame:
     def emit(batches):
         own = kept(("shingles", words), lambda: Shingler(words))
         for b in batches:
-            texts = texts_of(b.column(0))
-            for lo, hi in slices([len(t) + 64 for t in texts], SLICE):
-                found = {fingerprint(s): s for s in own.sets(texts[lo:hi]) if len(s)}
+            for _, _, texts in text_slices(b.column(0), SLICE, each=64):
+                found = {fingerprint(s): s for s in own.sets(texts) if len(s)}
                 if not found:
                     continue
                 fps, sizes = np.array(list(found), "<i8"), np.array([len(s) for s in found.values()], "<u4")

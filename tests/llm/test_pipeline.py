@@ -1,9 +1,10 @@
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import tiktoken
 
 import corpus_pipeline
-from ledgerlens.llm import bpe, mixing, ngramjoin, quality, secrets
+from ledgerlens.llm import bpe, common, mixing, ngramjoin, quality, secrets
 
 from .brute import base_spans, join_components
 from .conftest import SMALL
@@ -49,3 +50,38 @@ def test_no_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SMALL)
         assert docs.count() == 0
+
+
+def test_stages_hand_texts_over_in_small_batches(spark, documents):
+    """A batch is whole on both sides of a worker, so its size bounds what a task holds."""
+    key, before = corpus_pipeline.BATCH, spark.conf.get(corpus_pipeline.BATCH)
+    docs = documents([f"word{i} and more words" for i in range(2 * corpus_pipeline.ROWS)], parts=1)
+
+    def largest():
+        sizes = docs.select("doc_id").mapInArrow(
+            lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+        return max(r.n for r in sizes.collect())
+
+    try:
+        for limit, want in (("10000", corpus_pipeline.ROWS), ("0", corpus_pipeline.ROWS), ("70", 70)):
+            spark.conf.set(key, limit)
+            dict(corpus_pipeline.STAGES)["byte-level BPE"](spark, docs, SMALL)
+            assert largest() == want
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_a_worker_gives_memory_back_when_it_changes_helpers(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "_KEPT", {})
+    monkeypatch.setattr(common, "give_back", lambda: given.append(dict(common._KEPT)))
+    assert [common.kept(k, lambda k=k: k + k) for k in ("a", "a", "b")] == ["aa", "aa", "bb"]
+    assert given == [{}]
+    monkeypatch.undo()
+    common.give_back()
+
+
+def test_slices_count_what_a_row_needs_besides_its_text():
+    texts = pa.array(["ab", None, "ü", "abcdef"])
+    assert [x for x in common.text_slices(texts, 4)] == [(0, 3, ["ab", "", "ü"]), (3, 4, ["abcdef"])]
+    assert [x for x in common.text_slices(texts, 4, each=2)] == [(0, 1, ["ab"]), (1, 2, [""]), (2, 3, ["ü"]), (3, 4, ["abcdef"])]
