@@ -173,6 +173,31 @@ def test_logits_are_those_of_exact_counts_without_the_token_itself(spark, docume
     assert checked > 1000
 
 
+def test_a_frequent_words_context_is_parted(documents, monkeypatch):
+    """Paths that meet at a time are bounded also where most of them have one context, and all counts stay whole."""
+    draw = random.Random(11)
+    rows = [(i, " ".join(f"the w{draw.randint(0, 300)}" for _ in range(draw.randint(0, 60)))) for i in range(160)]
+    want = sorted(map(str, mixer.score(documents(rows)).collect()))
+    monkeypatch.setattr(mixer, "STEP", 1)
+    monkeypatch.setattr(mixer, "WIDTH", 100)
+    bits, every = 34, mixer.parts(documents(rows, parts=3), {}, np.zeros(mixer.CLASSES), bits=34).where("slice is not null")
+    made = [r.asDict() for r in every.collect()]
+    marks = [np.frombuffer(b"".join(r["marks"][kind] for r in made), "<u8") for kind in (0, 1)]
+    ranges, none = mixer.Ranges(bits, 16, marks), np.zeros((2, mixer.CLASSES, mixer.BITS), np.float32)
+    met, whole = mixer.meet_contexts(every, bits, ranges).collect(), mixer.meet_contexts(every, bits).collect()
+    for row in made:
+        own, one = (mixer.Slice(row, [(r.part, r.left) for r in found if r.slice == row["slice"]], none, bits, n)
+                    for found, n in ((met, ranges), (whole, 16)))
+        for a, b in zip(own.logits + own.found, one.logits + one.found):
+            assert (a == b).all()
+    for kind in (0, 1):
+        keys = np.concatenate([np.unique(mixer.paths(*mixer.slice_arrays(r["hashes"], r["sizes"], r["train"]), bits)[kind]) for r in made])
+        held = lambda begins: np.bincount(np.searchsorted(begins, keys, "right") - 1).max()
+        assert held(ranges.begins[kind]) <= 2 * mixer.WIDTH < held(mixer.borders(bits, 16, kind)) // 2
+    assert max(d.max() for d in ranges.depths) > mixer.BITS and len(ranges.begins[0]) > 40
+    assert sorted(map(str, mixer.score(documents(rows)).collect())) == want
+
+
 def test_a_slice_opens_few_ranges_at_a_time(documents, monkeypatch):
     rows = [(i, " ".join(f"w{k % (7 + i)}" for k in range(40 + i))) for i in range(30)]
     row = mixer.parts(documents(rows, parts=1), {}, np.zeros(mixer.CLASSES)).where("slice is not null")
