@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.config import LedgerConfig
@@ -219,6 +220,37 @@ def test_categories_of_few_points_settle_without_rounds(spark, monkeypatch):
     assert found[1 << 16] == found[60] == found[0] and len(found[0]) == 2 * 130
 
 
+def test_a_large_category_settles_without_rounds_between_tasks(spark, monkeypatch):
+    """More points than sixteen blocks have: a pass over tasks for each round made time grow with the number of rounds."""
+    rng = np.random.default_rng(13)
+    rounds = []
+    monkeypatch.setattr(kmeans, "_round", lambda *a, f=kmeans._round: rounds.append(1) or f(*a))
+    rows = spark.range(70_000).select(F.lit("c").alias("equipment_category"), F.col("id").cast("string").alias("equipment_id"),
+                                      F.array(F.rand(1), F.randn(2)).alias("x"))
+    assert kmeans.fit(rows, 2, 2, 42).groupBy("k").count().collect() == [(2, 70_000)] and not rounds
+
+
+def test_bounds_give_the_clusters_of_full_rounds():
+    """Also with repeated points, points half-way between centres, and centres that coincide or have no points."""
+    rng = np.random.default_rng(14)
+    sets = [rng.normal(size=(900, 9)), np.repeat(rng.normal(size=(30, 3)), 20, axis=0), rng.integers(-3, 4, (500, 2)).astype(float),
+            np.c_[np.arange(-50.0, 51), np.zeros(101)], rng.normal(size=(300, 3)) * [1, 1e3, 1e-3], np.zeros((7, 2))]
+    looked, every = [], 0
+    for x in (np.rint(x * kmeans.GRID) / kmeans.GRID for x in sets):
+        for k in (2, 3, 6):
+            own = first = np.r_[x[:k - 1], x[:1] if k == 3 else x[-1:]]
+            sums, settled = np.zeros((k, 1 + x.shape[1]), np.int64), False
+            while not settled:
+                new = kmeans._sums(x, kmeans._whole(x), own)
+                settled, sums, own, every = (new == sums).all(), new, kmeans._moved(own, new), every + len(x)
+            with pytest.MonkeyPatch.context() as patch:
+                patch.setattr(kmeans, "AT_ONCE", 64)
+                patch.setattr(kmeans, "_bounds", lambda *a, f=kmeans._bounds: looked.append(len(a[0])) or f(*a))
+                found = kmeans._all_rounds(x, first)
+            assert (found[0] == own).all() and (found[1] == sums).all()
+    assert sum(looked) < every / 2 and max(looked) == 64
+
+
 def test_a_round_writes_centres_not_points(spark):
     """What is kept of a round does not grow with the points, and products find the nearest centre that differences find."""
     rng = np.random.default_rng(11)
